@@ -17,7 +17,8 @@ from verification.usage import HOUR, final
 
 RAW = f"WITH {JOBS_CTE} "
 RAW_EVENTS = f"WITH {EVENTS_CTE} "
-COUNT = F.count(F.lit(1)).alias("jobs")
+def count_jobs():
+    return F.count(F.lit(1)).alias("jobs")
 
 
 # --- projections ---------------------------------------------------------------
@@ -51,13 +52,13 @@ def exit_flag_per_record(spark, sf_dir):
 @query("PRJ9", RAW + "SELECT CASE WHEN ExitCode = 0 THEN 'Success' WHEN ExitCode IS NOT NULL THEN 'Fail' "
        "ELSE 'Null Exit Code' END AS exit_class, count(*) AS jobs FROM raw GROUP BY 1")
 def records_by_exit_class(spark, sf_dir):
-    return jobs(spark, sf_dir, S.EXIT_CODE).groupBy(C.exit_class().alias("exit_class")).agg(COUNT)
+    return jobs(spark, sf_dir, S.EXIT_CODE).groupBy(C.exit_class().alias("exit_class")).agg(count_jobs())
 
 
 @query("PRJ10", RAW + "SELECT coalesce(CRAB_DataBlock = 'MCFakeBlock' AND Type = 'analysis', FALSE) AS is_mc, "
        "count(*) AS jobs FROM raw GROUP BY 1")
 def records_by_monte_carlo_flag(spark, sf_dir):
-    return jobs(spark, sf_dir, S.BLOCK, S.JOB_TYPE).groupBy(C.is_mc_job().alias("is_mc")).agg(COUNT)
+    return jobs(spark, sf_dir, S.BLOCK, S.JOB_TYPE).groupBy(C.is_mc_job().alias("is_mc")).agg(count_jobs())
 
 
 @query("PRJ11 PRJ12 FN5", RAW + "SELECT GlobalJobId, RecordTime, WallClockHr * RequestCpus AS core_hr, "
@@ -109,7 +110,7 @@ def records_of_known_types(spark, sf_dir):
 @query("FIL7", RAW + "SELECT DESIRED_CMSDataset, count(*) AS jobs FROM raw "
        "WHERE DESIRED_CMSDataset NOT LIKE '%HC%' GROUP BY 1")
 def jobs_per_dataset_without_probes(spark, sf_dir):
-    return clean.without_mark(jobs(spark, sf_dir, S.DATASET), S.DATASET).groupBy(S.DATASET).agg(COUNT)
+    return clean.without_mark(jobs(spark, sf_dir, S.DATASET), S.DATASET).groupBy(S.DATASET).agg(count_jobs())
 
 
 @query("FIL8", RAW + "SELECT GlobalJobId, RecordTime, Type, ExitCode FROM raw "
@@ -140,12 +141,12 @@ def jobs_deduplicated(spark, sf_dir):
     "FROM clean GROUP BY 1", "wall_hr")
 def jobs_deduplicated_within_days(spark, sf_dir):
     daily = clean.clean_jobs(jobs(spark, sf_dir, S.WALL_HR), [S.WALL_HR], per_day=True)
-    return daily.groupBy(S.RECORD_DATE).agg(COUNT, F.sum(S.WALL_HR).alias("wall_hr"))
+    return daily.groupBy(S.RECORD_DATE).agg(count_jobs(), F.sum(S.WALL_HR).alias("wall_hr"))
 
 
 @query("DED1", "SELECT count(DISTINCT l_orderkey || '#' || l_linenumber) AS jobs FROM lineitem")
 def number_of_jobs_any_record_kept(spark, sf_dir):
-    return clean.any_per_key(jobs(spark, sf_dir, S.WALL_HR), [S.JOB_ID]).agg(COUNT)
+    return clean.any_per_key(jobs(spark, sf_dir, S.WALL_HR), [S.JOB_ID]).agg(count_jobs())
 
 
 @query("DED4", RAW + "SELECT DISTINCT CMS_SubmissionTool FROM raw")
@@ -170,7 +171,7 @@ def time_functions(spark, sf_dir):
         T.day_folder(F.date_sub(day, 3)).alias("first_folder"), T.ms_text(S.RECORD_TIME).alias("time_text"))
 
 
-@query("FN13", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+@query("FN13", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def timestamps_as_epoch_ms(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.to_ms("ts").alias("ms"))
 
@@ -230,7 +231,7 @@ def percent_labels_with_null_key(spark, sf_dir):
        "epoch_ms(CAST(day AS TIMESTAMP)) + 86400000 AS end_ms, coalesce(jobs, 0) AS jobs FROM d LEFT JOIN n USING (day)")
 def jobs_by_calendar_day(spark, sf_dir):
     """Every day of every month the records touch, days without a job included."""
-    per_day = events_as_jobs(spark, sf_dir, S.JOB_ID).groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE)).agg(COUNT)
+    per_day = events_as_jobs(spark, sf_dir, S.JOB_ID).groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE)).agg(count_jobs())
     return calendar_of(per_day).join(per_day, S.RECORD_DATE, "left").fillna(0, ["jobs"])
 
 
@@ -240,5 +241,5 @@ def jobs_by_calendar_day(spark, sf_dir):
 def jobs_of_one_week_by_day(spark, sf_dir):
     week = Window(datetime(2024, 1, 1), datetime(2024, 1, 8))
     per_day = (events_as_jobs(spark, sf_dir, S.JOB_ID).where(week.contains())
-               .groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE)).agg(COUNT))
+               .groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE)).agg(count_jobs()))
     return days_of(spark, week).join(per_day, S.RECORD_DATE, "left").select(S.RECORD_DATE, "jobs")

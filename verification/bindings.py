@@ -90,7 +90,7 @@ def events_as_jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
                      *(F.expr(EVENT_COLUMNS[n]).alias(n) for n in names if n != S.RECORD_TIME))
 
 
-EVENTS_CTE = ("raw AS (SELECT epoch_ms(ts) AS RecordTime, "
+EVENTS_CTE = ("raw AS (SELECT epoch_us(ts) // 1000 AS RecordTime, "
               + ", ".join(f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()) + " FROM events)")
 
 # --- catalogue from part -------------------------------------------------------
