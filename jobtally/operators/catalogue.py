@@ -72,8 +72,8 @@ def accesses(jobs: DataFrame, *keys: str) -> DataFrame:
 def _earliest(*values: str) -> Column:
     """``values`` of the earliest access; all other columns settle equal times.
 
-    The order names every column of :func:`accesses`. So both tables below read
-    the same columns of it and Spark computes it once for the two.
+    The order names every column of :func:`accesses`, so the result is fixed and
+    both tables below read the same columns and share the shuffled job records.
     """
     order = F.struct(S.FIRST_ACCESS, S.LAST_ACCESS, S.TIER, S.DATASET, S.BLOCK, S.TASK)
     return F.min_by(F.struct(*values), order)
@@ -117,14 +117,13 @@ def sized_blocks(active: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
         *keys, S.DATASET, S.BLOCK, S.BLOCK_SIZE, S.TASK, S.FIRST_ACCESS, S.LAST_ACCESS)
 
 
-def dataset_block_table(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame,
+def dataset_block_table(access: DataFrame, dataset_size: DataFrame, block_size: DataFrame,
                         *keys: str, salts: int = 16) -> DataFrame:
     """Accessed blocks with dataset, both sizes, task, first and last access.
 
-    ``keys`` (the record date, say) makes one independent table per key value, all
+    ``access`` is the result of :func:`accesses`. ``keys`` (the record date, say) makes one independent table per key value, all
     in the same job. A dataset can own very many blocks, so its blocks are spread.
     """
-    access = accesses(jobs, *keys)
     datasets = sized_datasets(active_datasets(access, *keys), dataset_size, *keys)
     blocks = sized_blocks(active_blocks(access, *keys), block_size, *keys)
     on = [*keys, S.DATASET, "__salt"]

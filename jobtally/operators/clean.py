@@ -62,7 +62,7 @@ def any_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: bool = False,
-               **conditions) -> DataFrame:
+               already_clean: bool = False, **conditions) -> DataFrame:
     """Filter, then keep one record per job id: the front of every analysis.
 
     The filter has to come first: a job with a running and a final record keeps
@@ -70,11 +70,14 @@ def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: boo
     only id, time and ``keep`` go on, so that no others are shuffled. ``per_day``
     keeps one record per job and UTC day and adds ``record_date``, which is what
     a run per day would give; a job seen on two days is then in both.
+    ``already_clean`` is for extracts that hold each job once: they are filtered
+    only, which saves the one shuffle that grows with the records.
     """
     kept = df.where(job_filter(**conditions))
     if keep is not None:
         kept = kept.select(*dict.fromkeys([S.JOB_ID, S.RECORD_TIME, *keep]))
-    if not per_day:
-        return latest_per_key(kept, [S.JOB_ID])
-    dated = kept.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
-    return latest_per_key(dated, [S.RECORD_DATE, S.JOB_ID])
+    if per_day:
+        kept = kept.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
+    if already_clean:
+        return kept
+    return latest_per_key(kept, [S.RECORD_DATE, S.JOB_ID] if per_day else [S.JOB_ID])

@@ -12,28 +12,45 @@ from pyspark.sql import DataFrame, functions as F
 from jobtally import schemas as S, sinks
 from jobtally.functions import time as T
 from jobtally.operators import catalogue, clean
+from jobtally.session import shared_folder
 
 
-def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, **conditions) -> DataFrame:
-    """The fourteen columns of finished jobs, one record per job and day."""
-    return clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, per_day=True, statuses=statuses, **conditions)
+def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, once: bool = False, **conditions) -> DataFrame:
+    """The fourteen columns of finished jobs and their UTC day.
+
+    One record per job and day, as a run per day gives; with ``once`` one per job
+    in all, so that analyses of the extract can pass ``already_clean=True``.
+    """
+    if not once:
+        return clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, per_day=True, statuses=statuses, **conditions)
+    cleaned = clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, statuses=statuses, **conditions)
+    return cleaned.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
 
 
-def write_clean_extract(jobs: DataFrame, path: str, replace: bool = False, **conditions) -> None:
+def write_clean_extract(jobs: DataFrame, path: str, replace: bool = False, **options) -> None:
     """All days in one job, gzip Parquet, a partition per day."""
-    sinks.write_by(clean_extract(jobs, **conditions), path, compression="gzip", replace=replace)
+    sinks.write_by(clean_extract(jobs, **options), path, compression="gzip", replace=replace)
 
 
 ACCESS_COLUMNS = (S.TIER, S.DATASET, S.BLOCK, S.TASK)
 
 
 def dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, *, per_day: bool = False,
-                   tool: str | None = S.ANALYSIS_TOOL, window=None) -> DataFrame:
-    """Accessed datasets and blocks with sizes, first and last access."""
+                   tool: str | None = S.ANALYSIS_TOOL, window=None, access_path: str | None = None) -> DataFrame:
+    """Accessed datasets and blocks with sizes, first and last access.
+
+    The dataset and the block table both come from the accesses. With an
+    ``access_path`` these are written there once and read back for the two;
+    without one the result stays lazy and they share the shuffled records.
+    """
     cleaned = clean.clean_jobs(jobs, ACCESS_COLUMNS, per_day=per_day, tool=tool, known_tier=True, with_block=True,
                                window=window)
-    return catalogue.dataset_block_table(cleaned, dataset_size, block_size,
-                                         *([S.RECORD_DATE] if per_day else []))
+    keys = [S.RECORD_DATE] if per_day else []
+    access = catalogue.accesses(cleaned, *keys)
+    if access_path is not None:
+        sinks.write_parquet(access, access_path)
+        access = jobs.sparkSession.read.parquet(access_path)
+    return catalogue.dataset_block_table(access, dataset_size, block_size, *keys)
 
 
 def largest_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, **options) -> DataFrame:
@@ -44,8 +61,13 @@ def largest_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size:
 
 def write_daily_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, path: str,
                                replace: bool = False, **options) -> None:
-    """One table per UTC day, all days in one job; the size tables are made once."""
-    sinks.write_by(dataset_blocks(jobs, dataset_size, block_size, per_day=True, **options), path, replace=replace)
+    """One table per UTC day, all days in one job; the size tables are made once.
+
+    The accesses go to the shared folder unless an ``access_path`` is given.
+    """
+    options.setdefault("access_path", shared_folder(jobs.sparkSession, "accesses"))
+    table = dataset_blocks(jobs, dataset_size, block_size, per_day=True, **options)
+    sinks.write_by(table, path, replace=replace)
 
 
 def period_dataset_sizes(jobs: DataFrame, sizes: DataFrame, period: str = "month", tool: str | None = S.ANALYSIS_TOOL,

@@ -63,6 +63,7 @@ JOBS_CTE = ("raw AS (SELECT epoch_ms(l_shipdate) AS RecordTime, "
             + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)")
 
 # --- job records from events ---------------------------------------------------
+# Each user works on one part: its dataset and block.
 EVENT_COLUMNS = {
     S.JOB_ID: "'e' || CAST((event_id - event_id % 2) AS STRING)",
     S.SITE: "'T1_' || CAST(user_id % 5 AS STRING)",
@@ -76,7 +77,9 @@ EVENT_COLUMNS = {
     S.CORE_HR: "value * (1 + event_id % 8)",
     S.CPU_HR: "value * 0.25 * (1 + user_id % 4)",
     S.JOB_TYPE: "CASE WHEN user_id % 2 = 0 THEN 'analysis' ELSE 'production' END",
-    S.BLOCK: "CASE WHEN user_id % 7 = 0 THEN 'MCFakeBlock' ELSE 'block#' || CAST(user_id AS STRING) END",
+    S.DATASET: f"CASE WHEN user_id % 97 <> 0 THEN {_DATASET_NAME} END",
+    S.BLOCK: f"CASE WHEN user_id % 7 = 0 THEN 'MCFakeBlock' ELSE {_DATASET_NAME} || '#' || CAST(p_partkey AS STRING) END",
+    S.TASK: "'task_' || CAST(event_id % 100 AS STRING)",
     S.EXIT_CODE: "CAST(CASE event_type WHEN 'error' THEN 8028 WHEN 'view' THEN 50660 "
                  "WHEN 'purchase' THEN NULL ELSE 0 END AS BIGINT)",
     S.TOOL: "CASE WHEN user_id % 5 = 0 THEN 'InteractiveTool' ELSE 'CRAB' END",
@@ -86,12 +89,14 @@ EVENT_COLUMNS = {
 def events_as_jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     names = list(dict.fromkeys([S.JOB_ID, *(columns or EVENT_COLUMNS)]))
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if any("p_" in EVENT_COLUMNS[n] for n in names if n != S.RECORD_TIME):
+        df = df.join(spark.read.parquet(f"{sf_dir}/part.parquet"), F.expr("user_id = p_partkey"))
     return df.select(F.unix_millis(F.col("ts").cast("timestamp")).alias(S.RECORD_TIME),
                      *(F.expr(EVENT_COLUMNS[n]).alias(n) for n in names if n != S.RECORD_TIME))
 
 
 EVENTS_CTE = ("raw AS (SELECT epoch_us(ts) // 1000 AS RecordTime, "
-              + ", ".join(f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()) + " FROM events)")
+              + ", ".join(f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()) + " FROM events JOIN part ON user_id = p_partkey)")
 
 # --- catalogue from part -------------------------------------------------------
 # Some file sizes are NULL, some files have no dataset, some datasets no file.

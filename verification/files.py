@@ -18,7 +18,8 @@ from jobtally.sources import catalogue as dumps, jobs as source
 from jobtally.sources.windows import Window
 from verification import bindings as B, popularity as P
 from verification.registry import query
-from verification.usage import EFFICIENCY, EFFICIENCY_RATIOS, EFFICIENCY_SUMS, HOUR, final
+from verification.usage import (EFFICIENCY, EFFICIENCY_RATIOS, EFFICIENCY_SUMS, HOUR, HOURS, PERCENT_COLUMNS, PERCENTS,
+                                final, sums)
 
 EXTRACT = list(S.EXTRACT_COLUMNS)
 WINDOW = Window(datetime(2024, 1, 5), datetime(2024, 1, 20))
@@ -99,7 +100,7 @@ def dataset_sizes_written_and_read(spark, sf_dir):
     return source.read_extract(spark, path)
 
 
-DAILY = (f"WITH {B.JOBS_CTE}, " + B.clean_cte(EXTRACT, B.FINAL, "record_date, GlobalJobId",
+DAILY = (f"WITH {B.EVENTS_CTE}, " + B.clean_cte(EXTRACT, B.FINAL, "record_date, GlobalJobId",
                                             extra=f"{B.DAY} AS record_date"))
 
 
@@ -108,25 +109,33 @@ DAILY = (f"WITH {B.JOBS_CTE}, " + B.clean_cte(EXTRACT, B.FINAL, "record_date, Gl
 def daily_clean_extract(spark, sf_dir):
     """Every day's clean records in one gzip Parquet job, read back."""
     path = shared_folder(spark, "extract")
-    extracts.write_clean_extract(B.jobs(spark, sf_dir, *EXTRACT), path)
+    extracts.write_clean_extract(B.events_as_jobs(spark, sf_dir, *EXTRACT), path)
     return source.read_extract(spark, path)
 
 
+@query("Q22 Q1 SRC6", final(["CMSPrimaryDataTier", *HOURS], B.EVENTS_CTE) + ", " + sums("CMSPrimaryDataTier")
+       + " " + PERCENTS, PERCENT_COLUMNS)
+def hours_by_tier_from_clean_extract(spark, sf_dir):
+    """An extract that holds each job once answers without another de-duplication."""
+    path = shared_folder(spark, "extract")
+    extracts.write_clean_extract(B.events_as_jobs(spark, sf_dir, *EXTRACT), path, once=True)
+    return usage.tier_hours(source.read_extract(spark, path), already_clean=True)
+
+
 @query("SRC6 SRC9", DAILY + " SELECT CAST(record_date AS STRING) AS record_date, count(*) AS jobs FROM clean WHERE "
-       "RecordTime >= epoch_ms(TIMESTAMP '1997-01-01') AND RecordTime < epoch_ms(TIMESTAMP '1998-01-01') GROUP BY 1")
-def daily_clean_extract_of_one_year(spark, sf_dir):
-    """The same, a year of it read: the window prunes the day partitions."""
+       "RecordTime >= epoch_ms(TIMESTAMP '2024-01-05') AND RecordTime < epoch_ms(TIMESTAMP '2024-01-20') GROUP BY 1")
+def daily_clean_extract_of_a_window(spark, sf_dir):
+    """The same, part of it read: the window prunes the day partitions."""
     path = shared_folder(spark, "extract")
-    extracts.write_clean_extract(B.jobs(spark, sf_dir, *EXTRACT), path)
-    year = Window(datetime(1997, 1, 1), datetime(1998, 1, 1))
-    return source.read_extract(spark, path, year).groupBy(S.RECORD_DATE).agg(F.count(F.lit(1)).alias("jobs"))
+    extracts.write_clean_extract(B.events_as_jobs(spark, sf_dir, *EXTRACT), path)
+    return source.read_extract(spark, path, WINDOW).groupBy(S.RECORD_DATE).agg(F.count(F.lit(1)).alias("jobs"))
 
 
-@query("Q20 SNK3 SRC6", P.access_ctes("record_date, ") +
+@query("Q20 SNK3 SRC6", P.access_ctes("record_date, ", source=B.EVENTS_CTE) +
        "SELECT * REPLACE (CAST(record_date AS STRING) AS record_date) FROM combined")
 def daily_dataset_block_extract(spark, sf_dir):
     path = shared_folder(spark, "blocks")
-    extracts.write_daily_dataset_blocks(P.access_jobs(spark, sf_dir), P.sizes_by_dataset(spark, sf_dir),
+    extracts.write_daily_dataset_blocks(B.events_as_jobs(spark, sf_dir, S.TOOL, *P.ACCESS), P.sizes_by_dataset(spark, sf_dir),
                                         P.sizes_by_block(spark, sf_dir), path)
     return source.read_extract(spark, path)
 

@@ -228,11 +228,11 @@ EARLIEST = ("First_Access, Last_Access, CMSPrimaryDataTier, DESIRED_CMSDataset N
             "CRAB_Workflow NULLS FIRST")
 
 
-def access_ctes(key="", where=ACTIVE):
+def access_ctes(key="", where=ACTIVE, source=JOBS_CTE):
     """Accesses, active datasets and blocks; ``key`` is "" or "record_date, "."""
     cleaned = (clean_cte(ACCESS, where, "record_date, GlobalJobId", extra=f"{DAY} AS record_date") if key
                else clean_cte(ACCESS, where))
-    return (f"WITH {JOBS_CTE}, {CATALOGUE_CTES}, {cleaned}, access AS (SELECT {key}{', '.join(ACCESS)}, "
+    return (f"WITH {source}, {CATALOGUE_CTES}, {cleaned}, access AS (SELECT {key}{', '.join(ACCESS)}, "
             "min(RecordTime) AS First_Access, max(RecordTime) AS Last_Access FROM clean GROUP BY ALL), "
             f"active_datasets AS (SELECT {key}CMSPrimaryDataTier, DESIRED_CMSDataset FROM access QUALIFY row_number() "
             f"OVER (PARTITION BY {key}DESIRED_CMSDataset ORDER BY {EARLIEST}) = 1), "
@@ -349,21 +349,22 @@ def used_dataset_sizes_by_month(spark, sf_dir):
 
 
 # --- profiles ------------------------------------------------------------------
-PROFILED = (("d", "Dataset_Size"), ("b", "Block_Size"), ("f", "First_Access"))
+PROFILED = (("d", "Dataset_Size", "Dataset_Size"), ("b", "Block_Size", "Block_Size"),
+            ("u", "days_used", "(Last_Access - First_Access) / 86400000"))
 
 
 @query("Q23 AGG15", access_ctes() + ", " + ", ".join(
-    f"{c} AS (SELECT CAST({n} AS DOUBLE) AS v FROM combined), p{c} AS (SELECT "
+    f"{c} AS (SELECT CAST({e} AS DOUBLE) AS v FROM combined), p{c} AS (SELECT "
     "unnest(['count', 'mean', 'stddev', 'min', '25%', '50%', '75%', 'max']) AS summary, "
     "unnest([count(v), avg(v), stddev_samp(v), min(v), quantile_disc(v, 0.25), quantile_disc(v, 0.5), "
-    f"quantile_disc(v, 0.75), max(v)]) AS {n} FROM {c})" for c, n in PROFILED) +
-    " SELECT * FROM pd JOIN pb USING (summary) JOIN pf USING (summary)", "Dataset_Size Block_Size First_Access")
+    f"quantile_disc(v, 0.75), max(v)]) AS {n} FROM {c})" for c, n, e in PROFILED) +
+    " SELECT * FROM pd JOIN pb USING (summary) JOIN pu USING (summary)", "Dataset_Size Block_Size days_used")
 def dataset_block_profile(spark, sf_dir):
     table = extracts.dataset_blocks(access_jobs(spark, sf_dir), sizes_by_dataset(spark, sf_dir),
                                     sizes_by_block(spark, sf_dir))
-    columns = [S.DATASET_SIZE, S.BLOCK_SIZE, S.FIRST_ACCESS]
-    return A.profile(table.select(*columns)).select(
-        "summary", *(F.col(c).cast("double").alias(c) for c in columns))
+    used = (F.col(S.LAST_ACCESS) - F.col(S.FIRST_ACCESS)) / 86_400_000
+    profile = A.profile(table.select(S.DATASET_SIZE, S.BLOCK_SIZE, used.alias("days_used")))
+    return profile.select("summary", *(F.col(c).cast("double").alias(c) for c in profile.columns[1:]))
 
 
 @query("AGG15 DED2", access_ctes() + "SELECT unnest(['count', 'min', 'max']) AS summary, "
