@@ -1,0 +1,107 @@
+"""What Spark makes of the queries: the parts of the plans that matter at scale."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from conftest import executed_plan
+from jobtally import schemas as S
+from jobtally.operators import catalogue, clean
+from jobtally.plans import extracts, popularity, usage
+from jobtally.sources import jobs as source
+from jobtally.sources.windows import Window
+from verification import bindings as B
+
+QUERIES = queries()
+
+
+def test_deduplication_drops_rows_before_the_shuffle(spark, sf_dir):
+    plan = executed_plan(clean.clean_jobs(B.jobs(spark, sf_dir, S.WALL_HR), [S.WALL_HR]))
+    partial, exchange = (plan.index(x) for x in ("Partial", "Exchange hashpartitioning(GlobalJobId"))
+    assert "WindowGroupLimit" in plan and exchange < partial  # a plan lists the last step first
+
+
+def test_share_total_reuses_the_grouping(spark, sf_dir):
+    plan = executed_plan(usage.tier_hours(B.jobs(spark, sf_dir)))
+    assert "ReusedExchange" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_top_per_day_is_one_pass_with_early_limit(spark, sf_dir):
+    plan = executed_plan(popularity.daily_top(B.jobs(spark, sf_dir, S.DATASET, S.CPU_HR)))
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"WindowGroupLimit \[record_date", final)) == 2
+    assert "Union" not in final
+
+
+def test_block_access_needs_no_window(spark):
+    schema = ", ".join(f"{c} STRING" for c in (S.TIER, S.DATASET, S.BLOCK, S.TASK)) + f", {S.RECORD_TIME} BIGINT"
+    plan = executed_plan(catalogue.active_blocks(catalogue.accesses(spark.createDataFrame([], schema))))
+    assert "Window" not in plan and "partial_min" in plan
+
+
+def test_dataset_and_block_tables_share_the_clean_records(spark, sf_dir):
+    plan = executed_plan(QUERIES["dataset_block_table"](spark, sf_dir))
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange [GlobalJobId" in final
+
+
+def test_exit_code_table_is_broadcast(spark, sf_dir):
+    plan = executed_plan(QUERIES["exit_code_meaning_of_every_job"](spark, sf_dir))
+    assert "BroadcastHashJoin [ExitCode" in plan
+
+
+def test_top_rows_keep_k_per_task(spark, sf_dir):
+    assert "TakeOrderedAndProject" in executed_plan(QUERIES["top20_datasets_by_cpu"](spark, sf_dir))
+
+
+def test_extract_prunes_partitions_and_pushes_the_window(spark, sf_dir):
+    from datetime import datetime
+
+    from jobtally.session import shared_folder
+
+    path = shared_folder(spark, "extract")
+    extracts.write_clean_extract(B.events_as_jobs(spark, sf_dir, *S.EXTRACT_COLUMNS), path)
+    window = Window(datetime(2024, 1, 5), datetime(2024, 1, 7))
+    plan = executed_plan(source.read_extract(spark, path, window).groupBy(S.TIER).agg(F.sum(S.WALL_HR)))
+    assert re.search(r"PartitionFilters: \[[^\]]*record_date", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*RecordTime", plan)
+    assert S.SITE not in plan.split("ReadSchema")[1]
+
+
+def test_extract_of_single_jobs_needs_no_job_shuffle(spark, sf_dir):
+    plan = executed_plan(usage.tier_hours(B.events_as_jobs(spark, sf_dir), already_clean=True))
+    assert "hashpartitioning(GlobalJobId" not in plan
+
+
+def test_json_scan_parses_the_asked_columns_only(spark, tmp_path):
+    from datetime import datetime
+    (tmp_path / "2022/05/01").mkdir(parents=True)
+    (tmp_path / "2022/05/01/a.json").write_text('{"data": {"GlobalJobId": "a", "RecordTime": 1, "Status": "Held"}}\n')
+    df = source.read_jobs(spark, str(tmp_path), Window(datetime(2022, 5, 1), datetime(2022, 5, 2)), [S.STATUS])
+    assert "ReadSchema: struct<data:struct<RecordTime:bigint,GlobalJobId:string,Status:string>>" in executed_plan(df)
+
+
+def test_hot_dataset_is_spread_over_tasks(spark):
+    """A third of all jobs on one dataset: the lookup join must not put them into one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        jobs = spark.range(9000).select(
+            F.concat(F.lit("j"), "id").alias(S.JOB_ID),
+            F.when(F.col("id") % 3 == 0, F.lit("/hot")).otherwise(F.concat(F.lit("/d"), F.col("id"))).alias(S.DATASET))
+        sizes = spark.createDataFrame([("/hot", 1)], "dataset STRING, sum_file_size BIGINT")
+        joined = catalogue.job_dataset_sizes(jobs, sizes).where("sum_file_size = 1").withColumn(
+            "task", F.spark_partition_id())
+        per_task = [r["count"] for r in joined.groupBy("task").count().collect()]
+        assert sum(per_task) == 3000 and max(per_task) < 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["hours_by_tier", "dataset_popularity", "dataset_block_table", "efficiency_series"])
+def test_no_python_in_the_hot_path(spark, sf_dir, name):
+    plan = executed_plan(QUERIES[name](spark, sf_dir))
+    assert "Python" not in plan and "Pandas" not in plan

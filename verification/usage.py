@@ -221,7 +221,7 @@ MEANING_OF = ("CASE ExitCode WHEN 8021 THEN 'FileReadError (May be a site error)
               "WHEN 50660 THEN 'Application terminated by wrapper because using too much RAM (RSS)' ELSE '' END")
 
 
-@query("AGG5 SRT2", final(CODES) + ", " + counts(ANALYSIS) + " SELECT ExitCode, count_ExitCode FROM counts")
+@query("AGG5 SRT2 FN8", final(CODES) + ", " + counts(ANALYSIS) + " SELECT ExitCode, count_ExitCode FROM counts")
 def exit_code_counts(spark, sf_dir):
     cleaned = clean.clean_jobs(jobs(spark, sf_dir, S.STATUS, *CODES), CODES, statuses=S.FINAL_STATUSES)
     failed = cleaned.where(clean.job_filter(types=[S.ANALYSIS], with_exit_code=True))
