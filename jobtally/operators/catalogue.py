@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally import schemas as S
+from jobtally.operators import topk
 from jobtally.operators.joins import spread_lookup
 
 
@@ -69,40 +70,38 @@ def accesses(jobs: DataFrame, *keys: str) -> DataFrame:
         F.min(S.RECORD_TIME).alias(S.FIRST_ACCESS), F.max(S.RECORD_TIME).alias(S.LAST_ACCESS))
 
 
-def _earliest(*values: str) -> Column:
-    """``values`` of the earliest access; all other columns settle equal times.
+def _earliest() -> Column:
+    """The earliest access as one struct; the other columns settle equal times.
 
-    The order names every column of :func:`accesses`, so the result is fixed and
-    both tables below read the same columns and share the shuffled job records.
+    It names every column of :func:`accesses`, so the result is fixed and both
+    tables below read the same columns and share the shuffled job records.
     """
-    order = F.struct(S.FIRST_ACCESS, S.LAST_ACCESS, S.TIER, S.DATASET, S.BLOCK, S.TASK)
-    return F.min_by(F.struct(*values), order)
+    return F.min(F.struct(S.FIRST_ACCESS, S.LAST_ACCESS, S.TIER, S.DATASET, S.BLOCK, S.TASK)).alias("e")
 
 
 def active_datasets(access: DataFrame, *keys: str) -> DataFrame:
     """One row per accessed dataset with the tier of its earliest access."""
-    return access.groupBy(*keys, S.DATASET).agg(_earliest(S.TIER).alias("e")).select(
+    return access.groupBy(*keys, S.DATASET).agg(_earliest()).select(
         *keys, F.col(f"e.{S.TIER}").alias(S.TIER), S.DATASET)
 
 
 def active_blocks(access: DataFrame, *keys: str) -> DataFrame:
     """One row per accessed block: first and last access, dataset and task of the first."""
-    return access.groupBy(*keys, S.BLOCK).agg(
-        F.min(S.FIRST_ACCESS).alias(S.FIRST_ACCESS), F.max(S.LAST_ACCESS).alias(S.LAST_ACCESS),
-        _earliest(S.DATASET, S.TASK).alias("e"),
-    ).select(*keys, F.col(f"e.{S.DATASET}").alias(S.DATASET), S.BLOCK,
-             F.col(f"e.{S.TASK}").alias(S.TASK), S.FIRST_ACCESS, S.LAST_ACCESS)
+    return access.groupBy(*keys, S.BLOCK).agg(_earliest(), F.max(S.LAST_ACCESS).alias(S.LAST_ACCESS)).select(
+        *keys, F.col(f"e.{S.DATASET}").alias(S.DATASET), S.BLOCK, F.col(f"e.{S.TASK}").alias(S.TASK),
+        F.col(f"e.{S.FIRST_ACCESS}").alias(S.FIRST_ACCESS), S.LAST_ACCESS)
 
 
 def with_block_access(jobs: DataFrame) -> DataFrame:
-    """Every job row with the first and last access of its block.
+    """Every job row with the first and last access of its block (NULL is a block too).
 
-    This keeps all rows, so it needs a window over the block. Where one row per
-    block is enough, :func:`active_blocks` shuffles far less.
+    A window over the block would do, but would gather all jobs of a hot block, the
+    Monte-Carlo marker say, in one task. So the two times are grouped, with a
+    partial step, and looked up. For one row per block see :func:`active_blocks`.
     """
-    block = W.partitionBy(S.BLOCK)
-    return jobs.withColumns({S.FIRST_ACCESS: F.min(S.RECORD_TIME).over(block),
-                             S.LAST_ACCESS: F.max(S.RECORD_TIME).over(block)})
+    span = jobs.groupBy(F.col(S.BLOCK).alias("__block")).agg(
+        F.min(S.RECORD_TIME).alias(S.FIRST_ACCESS), F.max(S.RECORD_TIME).alias(S.LAST_ACCESS))
+    return spread_lookup(jobs, span, S.BLOCK, "__block", [S.JOB_ID], null_safe=True).drop("__block")
 
 
 def sized_datasets(active: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
@@ -118,7 +117,7 @@ def sized_blocks(active: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
 
 
 def dataset_block_table(access: DataFrame, dataset_size: DataFrame, block_size: DataFrame,
-                        *keys: str, salts: int = 16) -> DataFrame:
+                        *keys: str, salts: int = 8) -> DataFrame:
     """Accessed blocks with dataset, both sizes, task, first and last access.
 
     ``access`` is the result of :func:`accesses`. ``keys`` (the record date, say) makes one independent table per key value, all
@@ -149,7 +148,7 @@ def top_share(daily: DataFrame, k: int) -> DataFrame:
     """One row: CPU hours of the k most used datasets and their percent of all."""
     per_dataset = daily.groupBy(S.DATASET).agg(F.sum("Sum_CpuTimeHr").alias("cpu_hr"))
     total = per_dataset.agg(F.sum("cpu_hr").alias("total")).scalar()
-    top = per_dataset.orderBy(F.col("cpu_hr").desc_nulls_last(), S.DATASET).limit(k)
+    top = topk.top_rows(per_dataset, "cpu_hr", k, [S.DATASET])
     return top.agg(F.sum("cpu_hr").alias("top_cpu_hr")).select(
         "top_cpu_hr", total.alias("all_cpu_hr"),
         F.try_divide(F.col("top_cpu_hr") * 100.0, total).alias("top_pct"))

@@ -1,19 +1,30 @@
-"""Largest rows, overall and per group. Ties are settled by name, NULLs come last."""
+"""Largest rows, overall and per group. Ties are settled by name, NULLs come last.
+
+Sums of the same fractions differ in their last digits from run to run, as the
+rows arrive in another order. Fractions are therefore ranked by their rounded
+value: what should be equal then is, and the ranks do not change between runs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
+
+RANK_DIGITS = 6
 
 
-def _largest_first(value: str, ties: Sequence[str]):
-    return [F.col(value).desc_nulls_last(), *(F.col(t).asc_nulls_first() for t in ties)]
+def largest_first(df: DataFrame, value: str, ties: Sequence[str]):
+    """Sort order by ``value``, largest first, then by ``ties``."""
+    fraction = isinstance(df.schema[value].dataType, DoubleType)
+    key = F.round(value, RANK_DIGITS) if fraction else F.col(value)
+    return [key.desc_nulls_last(), *(F.col(t).asc_nulls_first() for t in ties)]
 
 
 def top_rows(df: DataFrame, value: str, k: int, ties: Sequence[str]) -> DataFrame:
     """The k largest rows; each task keeps k, one merge follows."""
-    return df.orderBy(*_largest_first(value, ties)).limit(k)
+    return df.orderBy(*largest_first(df, value, ties)).limit(k)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], value: str, k: int, ties: Sequence[str]) -> DataFrame:
@@ -22,7 +33,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], value: str, k: int, ties:
     Tasks drop all but their own k rows of a group before the shuffle, so a big
     group never meets in one task.
     """
-    order = W.partitionBy(*group).orderBy(*_largest_first(value, ties))
+    order = W.partitionBy(*group).orderBy(*largest_first(df, value, ties))
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import rows
 from jobtally import schemas as S
@@ -187,13 +187,24 @@ def test_access_tables_match_the_window_form(spark):
     jobs = spark.createDataFrame(data, f"{S.JOB_ID} STRING, {S.RECORD_TIME} BIGINT, {S.TIER} STRING, {S.DATASET} STRING, "
                                        f"{S.BLOCK} STRING, {S.TASK} STRING")
     blocks = catalogue.active_blocks(catalogue.accesses(jobs))
-    window = catalogue.with_block_access(jobs).select(S.BLOCK, S.FIRST_ACCESS, S.LAST_ACCESS).distinct()
+    block = Window.partitionBy(S.BLOCK)
+    window = jobs.withColumns({S.FIRST_ACCESS: F.min(S.RECORD_TIME).over(block),
+                               S.LAST_ACCESS: F.max(S.RECORD_TIME).over(block)})
+    assert sorted(rows(catalogue.with_block_access(jobs))) == sorted(rows(window))
+    window = window.select(S.BLOCK, S.FIRST_ACCESS, S.LAST_ACCESS).distinct()
     assert sorted(rows(blocks.select(S.BLOCK, S.FIRST_ACCESS, S.LAST_ACCESS))) == sorted(rows(window))
     assert blocks.where(F.col(S.FIRST_ACCESS) > F.col(S.LAST_ACCESS)).count() == 0
     assert rows(catalogue.active_datasets(catalogue.accesses(jobs)).orderBy(S.DATASET)) == [
         ("RAW", "/d0"), ("RAW", "/d1"), ("RAW", "/d2")]
 
 
+def test_null_block_is_a_group_of_its_own(spark):
+    jobs = spark.createDataFrame([("a", 1, None), ("b", 5, None), ("c", 3, "x")],
+                                 f"{S.JOB_ID} STRING, {S.RECORD_TIME} BIGINT, {S.BLOCK} STRING")
+    assert sorted(rows(catalogue.with_block_access(jobs))) == [
+        ("a", 1, None, 1, 5), ("b", 5, None, 1, 5), ("c", 3, "x", 3, 3)]
+
+
 def test_spread_lookup_equals_a_plain_join(spark):
     left = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         F.concat(F.lit("k"), F.col("id") % 10)).alias("key"))

@@ -19,7 +19,7 @@ DAILY = (f"WITH {JOBS_CTE}, {clean_cte(CPU)}, daily AS (SELECT {DAY} AS record_d
 
 def ranked(k):
     return (f"top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_date ORDER BY "
-            f"Sum_CpuTimeHr DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST) AS INT) AS rank FROM daily) "
+            f"round(Sum_CpuTimeHr, 6) DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST) AS INT) AS rank FROM daily) "
             f"WHERE rank <= {k})")
 
 
@@ -112,7 +112,7 @@ def usage_hierarchy_balance(spark, sf_dir):
 
 @query("asked-for: CPU share of the top datasets; AGG12 TOP1 SHR1", DAILY +
        ", d AS (SELECT DESIRED_CMSDataset, sum(Sum_CpuTimeHr) AS cpu FROM daily GROUP BY 1), t AS (SELECT cpu FROM d "
-       "ORDER BY cpu DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST LIMIT 10) "
+       "ORDER BY round(cpu, 6) DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST LIMIT 10) "
        "SELECT (SELECT sum(cpu) FROM t) AS top_cpu_hr, (SELECT sum(cpu) FROM d) AS all_cpu_hr, "
        "100 * (SELECT sum(cpu) FROM t) / (SELECT sum(cpu) FROM d) AS top_pct", "top_cpu_hr all_cpu_hr top_pct")
 def cpu_share_of_top10_datasets(spark, sf_dir):
@@ -164,7 +164,7 @@ def top_lists(k, where="TRUE"):
             f"AS sum_file_size, sum_CpuTimeHr FROM popular WHERE {where}) ON distinct_CRAB_UserHN, distinct_Workflow, "
             "sum_file_size, sum_CpuTimeHr INTO NAME metric VALUE value) "
             "SELECT metric, CAST(r AS INT) AS rank, DESIRED_CMSDataset, value, DESIRED_CMSDataset AS short_name FROM ("
-            "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, DESIRED_CMSDataset) AS r "
+            "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 6) DESC NULLS LAST, DESIRED_CMSDataset) AS r "
             f"FROM long) WHERE r <= {k}")
 
 
@@ -178,7 +178,7 @@ def top20_datasets_by_metric_without_probes(spark, sf_dir):
     return popularity.top_lists(popular(spark, sf_dir), with_probes=False)
 
 
-@query("TOP2", USAGE + " SELECT * FROM popular ORDER BY sum_CpuTimeHr DESC NULLS LAST, DESIRED_CMSDataset LIMIT 20",
+@query("TOP2", USAGE + " SELECT * FROM popular ORDER BY round(sum_CpuTimeHr, 6) DESC NULLS LAST, DESIRED_CMSDataset LIMIT 20",
        "sum_CpuTimeHr")
 def top20_datasets_by_cpu(spark, sf_dir):
     return topk.top_rows(popular(spark, sf_dir), "sum_CpuTimeHr", 20, [S.DATASET])
@@ -268,11 +268,11 @@ def active_blocks(spark, sf_dir):
     return catalogue.active_blocks(access(spark, sf_dir))
 
 
-@query("WIN2", f"WITH {JOBS_CTE}, {clean_cte(['CRAB_DataBlock'], 'CRAB_DataBlock IS NOT NULL')} "
+@query("WIN2", f"WITH {JOBS_CTE}, {clean_cte(['CRAB_DataBlock'])} "
        "SELECT *, min(RecordTime) OVER (PARTITION BY CRAB_DataBlock) AS First_Access, "
        "max(RecordTime) OVER (PARTITION BY CRAB_DataBlock) AS Last_Access FROM clean")
 def jobs_with_block_access(spark, sf_dir):
-    return catalogue.with_block_access(clean.clean_jobs(jobs(spark, sf_dir, S.BLOCK), [S.BLOCK], with_block=True))
+    return catalogue.with_block_access(clean.clean_jobs(jobs(spark, sf_dir, S.BLOCK), [S.BLOCK]))
 
 
 @query("Q17 DED2 JN5", access_ctes() + "SELECT * FROM sized_datasets")
