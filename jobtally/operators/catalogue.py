@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally import schemas as S
@@ -133,12 +131,6 @@ def dataset_block_table(access: DataFrame, dataset_size: DataFrame, block_size:
         S.FIRST_ACCESS, S.LAST_ACCESS)
 
 
-def largest_first(df: DataFrame, size: str, ties: Sequence[str]) -> DataFrame:
-    """Sorted by size, largest first. The ties also split a size many rows share
-    over several tasks of the sort, which the size alone could not."""
-    return df.orderBy(F.col(size).desc_nulls_last(), *ties)
-
-
 def last_accessed_before(table: DataFrame, cutoff_ms: int) -> DataFrame:
     """Rows not used since ``cutoff_ms``: candidates for clean-up."""
     return table.where(F.col(S.LAST_ACCESS) < cutoff_ms)

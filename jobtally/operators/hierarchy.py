@@ -19,7 +19,7 @@ def usage_hierarchy(daily: DataFrame, root: str, k: int = 5, day_label: str = "d
     three levels. ``level`` is 0, 1, 2; sort by level, day and rank to draw.
     """
     value = F.col("Sum_CpuTimeHr")
-    day = F.date_format(S.RECORD_DATE, day_label)
+    day = L.name_or_null(F.date_format(S.RECORD_DATE, day_label))
     total = A.period_total(daily).select(
         F.lit(0).alias("level"), F.lit(None).cast("date").alias(S.RECORD_DATE), F.lit(None).cast("int").alias("rank"),
         F.lit(root).alias("label"), F.lit("").alias("parent"), F.col("period_cpu_hr").alias("value"),
@@ -27,7 +27,7 @@ def usage_hierarchy(daily: DataFrame, root: str, k: int = 5, day_label: str = "d
     days = A.day_totals(daily).select(
         F.lit(1), S.RECORD_DATE, F.lit(None).cast("int"), day, F.lit(root), "day_cpu_hr", day)
     top = topk.top_per_group(daily, [S.RECORD_DATE], "Sum_CpuTimeHr", k, [S.DATASET]).select(
-        F.lit(2), S.RECORD_DATE, "rank", L.rank_label(F.date_format(S.RECORD_DATE, day_short), "rank"),
+        F.lit(2), S.RECORD_DATE, "rank", L.rank_label(L.name_or_null(F.date_format(S.RECORD_DATE, day_short)), "rank"),
         day, value, S.DATASET)
     nodes = total.unionAll(days).unionAll(top)
     return nodes.withColumn("hover", L.hover_label("name", "value")).select(*NODE)

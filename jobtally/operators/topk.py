@@ -15,16 +15,21 @@ from pyspark.sql.types import DoubleType
 RANK_DIGITS = 6
 
 
-def largest_first(df: DataFrame, value: str, ties: Sequence[str]):
-    """Sort order by ``value``, largest first, then by ``ties``."""
+def _order(df: DataFrame, value: str, ties: Sequence[str]):
     fraction = isinstance(df.schema[value].dataType, DoubleType)
     key = F.round(value, RANK_DIGITS) if fraction else F.col(value)
     return [key.desc_nulls_last(), *(F.col(t).asc_nulls_first() for t in ties)]
 
 
+def largest_first(df: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
+    """Sorted by value, largest first. The ties also split a value many rows share
+    over several tasks of the sort, which the value alone could not."""
+    return df.orderBy(*_order(df, value, ties))
+
+
 def top_rows(df: DataFrame, value: str, k: int, ties: Sequence[str]) -> DataFrame:
     """The k largest rows; each task keeps k, one merge follows."""
-    return df.orderBy(*largest_first(df, value, ties)).limit(k)
+    return largest_first(df, value, ties).limit(k)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], value: str, k: int, ties: Sequence[str]) -> DataFrame:
@@ -33,7 +38,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], value: str, k: int, ties:
     Tasks drop all but their own k rows of a group before the shuffle, so a big
     group never meets in one task.
     """
-    order = W.partitionBy(*group).orderBy(*largest_first(df, value, ties))
+    order = W.partitionBy(*group).orderBy(*_order(df, value, ties))
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from jobtally import schemas as S, sinks
 from jobtally.functions import time as T
-from jobtally.operators import catalogue, clean
+from jobtally.operators import catalogue, clean, topk
 from jobtally.session import shared_folder
 
 
@@ -55,8 +55,8 @@ def dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFra
 
 def largest_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, **options) -> DataFrame:
     """The same, largest datasets first."""
-    return catalogue.largest_first(dataset_blocks(jobs, dataset_size, block_size, **options),
-                                   S.DATASET_SIZE, [S.DATASET, S.BLOCK])
+    return topk.largest_first(dataset_blocks(jobs, dataset_size, block_size, **options),
+                              S.DATASET_SIZE, [S.DATASET, S.BLOCK])
 
 
 def write_daily_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, path: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from jobtally import schemas as S
 from jobtally.functions import labels as L
@@ -35,7 +35,7 @@ def dataset_popularity(jobs: DataFrame, sizes: DataFrame, approximate: bool = Fa
 
 
 def most_used_first(popular: DataFrame) -> DataFrame:
-    return popular.orderBy(F.col("distinct_Workflow").desc_nulls_last(), S.DATASET)
+    return topk.largest_first(popular, "distinct_Workflow", [S.DATASET])
 
 
 def top_lists(popular: DataFrame, k: int = 20, with_probes: bool = True) -> DataFrame:

@@ -213,7 +213,7 @@ def dataset_sizes(spark, sf_dir):
 
 @query("Q15 JN2 AGG14 SRT2", SIZES + "SELECT * FROM file_size")
 def dataset_sizes_from_files(spark, sf_dir):
-    return catalogue.largest_first(sizes_by_file(spark, sf_dir), "sum_file_size", ["dataset"])
+    return topk.largest_first(sizes_by_file(spark, sf_dir), "sum_file_size", ["dataset"])
 
 
 @query("Q16 PRJ4", SIZES + "SELECT * FROM block_size")
@@ -318,7 +318,7 @@ def tool_jobs(spark, sf_dir):
        "ON DESIRED_CMSDataset = dataset WHERE DESIRED_CMSDataset IS NOT NULL")
 def dataset_size_of_every_job(spark, sf_dir):
     sized = catalogue.job_dataset_sizes(tool_jobs(spark, sf_dir), sizes_by_file(spark, sf_dir))
-    return catalogue.largest_first(sized, "sum_file_size", [S.DATASET, S.JOB_ID]).select(S.DATASET, "sum_file_size")
+    return topk.largest_first(sized, "sum_file_size", [S.DATASET, S.JOB_ID]).select(S.DATASET, "sum_file_size")
 
 
 @query("JN4 (one row per dataset)", TOOL_JOBS + " SELECT DESIRED_CMSDataset, count(*) AS jobs, "
