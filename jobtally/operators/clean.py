@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobtally import schemas as S
 from jobtally.functions import time as T
-from jobtally.sources.windows import Window
+from jobtally.sources.windows import TimeWindow
 
 _RANK = "__rank"
 
 
-def job_filter(*, window: Window | None = None, statuses: Sequence[str] | None = None,
+def job_filter(*, window: TimeWindow | None = None, statuses: Sequence[str] | None = None,
                types: Sequence[str] | None = None, tool: str | None = None,
                known_tier: bool = False, with_block: bool = False, with_exit_code: bool = False) -> Column:
     """One conjunction of the asked conditions; a NULL never satisfies one."""

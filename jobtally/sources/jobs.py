@@ -9,12 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from jobtally import schemas as S
-from jobtally.sources.windows import SLACK_DAYS, Window
+from jobtally.sources.windows import SLACK_DAYS, TimeWindow
 
 DAY_FOLDER = "%Y/%m/%d"
 
 
-def candidate_folders(window: Window, slack: int = SLACK_DAYS, include_tmp: bool = False,
+def candidate_folders(window: TimeWindow, slack: int = SLACK_DAYS, include_tmp: bool = False,
                       day_folder: str = DAY_FOLDER) -> list[str]:
     """Day folders, relative to the base, that can hold records of the window.
 
@@ -29,7 +29,7 @@ def candidate_glob(base: str, folders: Iterable[str]) -> str:
     return f"{base.rstrip('/')}/{{{','.join(folders)}}}"
 
 
-def scan_json(spark: SparkSession, base: str, window: Window, columns: Iterable[str] | None = None, *,
+def scan_json(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None, *,
               slack: int = SLACK_DAYS, include_tmp: bool = False,
               day_folder: str = DAY_FOLDER) -> DataFrame:
     """Nested records (one ``data`` struct) of the folders around the window.
@@ -48,7 +48,7 @@ def scan_json(spark: SparkSession, base: str, window: Window, columns: Iterable[
         return spark.createDataFrame([], schema)
 
 
-def read_jobs(spark: SparkSession, base: str, window: Window, columns: Iterable[str] | None = None,
+def read_jobs(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None,
               **scan) -> DataFrame:
     """Flat records of the window: folders with slack are read, rows filtered exactly."""
     wanted = None if columns is None else list(dict.fromkeys([S.RECORD_TIME, S.JOB_ID, *columns]))
@@ -60,7 +60,7 @@ def flatten(nested: DataFrame) -> DataFrame:
     return nested.select("data.*")
 
 
-def read_extract(spark: SparkSession, path: str, window: Window | None = None) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, window: TimeWindow | None = None) -> DataFrame:
     """A Parquet extract; a window prunes its day partitions and then its rows.
 
     A partition is named after the UTC day of its records, so no slack is needed.
@@ -74,7 +74,7 @@ def read_extract(spark: SparkSession, path: str, window: Window | None = None) -
     return df.where(window.contains()) if S.RECORD_TIME in df.columns else df
 
 
-def utc_days(window: Window) -> tuple[date, date]:
+def utc_days(window: TimeWindow) -> tuple[date, date]:
     """First and last UTC date the window touches."""
     first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).date()
                    for ms in (window.start_ms, window.end_ms - 1))

@@ -14,7 +14,7 @@ SLACK_DAYS = 3  # a day folder can hold records of days this far away
 
 
 @dataclass(frozen=True)
-class Window:
+class TimeWindow:
     """``[start, end)``, both local times of ``zone``.
 
     Day and hour keys are always UTC. ``zone`` only moves the bounds, for windows
@@ -47,13 +47,13 @@ class Window:
         return [first + timedelta(days=i) for i in range(count)]
 
 
-def month_window(year: int, month: int) -> Window:
+def month_window(year: int, month: int) -> TimeWindow:
     """The whole calendar month, whatever its length."""
     following = (year + 1, 1) if month == 12 else (year, month + 1)
-    return Window(datetime(year, month, 1), datetime(*following, 1))
+    return TimeWindow(datetime(year, month, 1), datetime(*following, 1))
 
 
-def days_of(spark: SparkSession, window: Window) -> DataFrame:
+def days_of(spark: SparkSession, window: TimeWindow) -> DataFrame:
     """One row per day of the window: (record_date, start_ms, end_ms)."""
     day = F.explode(F.sequence(F.lit(window.start.date()), F.lit(window.end.date() - timedelta(days=1))))
     return with_day_bounds(spark.range(1).select(day.alias(S.RECORD_DATE)))

@@ -1,5 +1,6 @@
 """Column functions and operators on hand-made edge cases."""
 
+import random
 from datetime import date
 
 import pytest
@@ -243,3 +244,73 @@ def test_shares_add_up_to_hundred(spark, sf_dir):
     from verification.bindings import jobs
     r = usage.tier_hours(jobs(spark, sf_dir)).agg(F.sum("wall_pct"), F.sum("core_pct")).collect()[0]
     assert abs(r[0] - 100) < 1e-6 and abs(r[1] - 100) < 1e-6
+
+
+# --- against brute force -------------------------------------------------------
+
+def test_deduplication_against_brute_force_with_hot_ids(spark):
+    """A third of the records have no id, another third share one."""
+    rng = random.Random(7)
+    data = [(rng.choice([None, "hot", f"j{i % 90}"]), rng.randrange(40), rng.choice([*S.FINAL_STATUSES, "Running", None]),
+             rng.choice([None, 1.5, 2.5]), rng.choice([None, "x", "y"])) for i in range(3000)]
+    schema = f"{S.JOB_ID} STRING, {S.RECORD_TIME} BIGINT, {S.STATUS} STRING, {S.WALL_HR} DOUBLE, {S.SITE} STRING"
+    got = rows(clean.clean_jobs(spark.createDataFrame(data, schema).repartition(6), [S.WALL_HR, S.SITE],
+                                statuses=S.FINAL_STATUSES))
+
+    def order(record):  # newest first, then site and hours, NULLs first
+        _, time, wall, site = record
+        return (-time, (site is not None, site or ""), (wall is not None, wall or 0.0))
+
+    best = {}
+    for job, time, status, wall, site in data:
+        record = (job, time, wall, site)
+        if status in S.FINAL_STATUSES and (job not in best or order(record) < order(best[job])):
+            best[job] = record
+    assert sorted(got, key=str) == sorted(best.values(), key=str)
+
+
+def test_daily_tables_equal_one_run_per_day(spark, sf_dir):
+    """Dates in one job: the same rows as a loop over the days."""
+    from datetime import datetime, timedelta
+
+    from jobtally.plans import extracts
+    from jobtally.sources.windows import TimeWindow
+    from verification import bindings as B, popularity as P
+
+    jobs = B.events_as_jobs(spark, sf_dir).cache()
+    sizes, blocks = P.sizes_by_dataset(spark, sf_dir).cache(), P.sizes_by_block(spark, sf_dir).cache()
+    all_days = extracts.dataset_blocks(jobs, sizes, blocks, per_day=True).cache()
+    extract = extracts.clean_extract(jobs).cache()
+    for day in (datetime(2024, 1, 3), datetime(2024, 1, 17)):
+        one = TimeWindow(day, day + timedelta(days=1))
+        single = extracts.dataset_blocks(jobs, sizes, blocks, window=one)
+        part = all_days.where(F.col(S.RECORD_DATE) == F.lit(day.date())).drop(S.RECORD_DATE)
+        assert sorted(rows(part), key=str) == sorted(rows(single.select(*part.columns)), key=str) != []
+        loop = clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, statuses=S.FINAL_STATUSES, window=one)
+        part = extract.where(F.col(S.RECORD_DATE) == F.lit(day.date())).select(*loop.columns)
+        assert sorted(rows(part), key=str) == sorted(rows(loop), key=str) != []
+    for df in (jobs, sizes, blocks, all_days, extract):
+        df.unpersist()
+
+
+def test_written_accesses_give_the_same_table(spark, sf_dir):
+    from jobtally.plans import extracts
+    from jobtally.session import shared_folder
+    from verification import popularity as P
+
+    args = P.access_jobs(spark, sf_dir), P.sizes_by_dataset(spark, sf_dir), P.sizes_by_block(spark, sf_dir)
+    lazy = extracts.dataset_blocks(*args)
+    written = extracts.dataset_blocks(*args, access_path=shared_folder(spark, "accesses"))
+    assert sorted(rows(lazy), key=str) == sorted(rows(written), key=str) != []
+
+
+def test_top_lists_against_brute_force(spark):
+    rng = random.Random(3)
+    data = [(f"/d{i}", rng.randrange(5), rng.randrange(9), rng.choice([None, 1, 2, 3]), rng.random()) for i in range(60)]
+    schema = f"{S.DATASET} STRING, distinct_CRAB_UserHN BIGINT, distinct_Workflow BIGINT, sum_file_size BIGINT, sum_CpuTimeHr DOUBLE"
+    got = rows(popularity.top_lists(spark.createDataFrame(data, schema), k=20).drop("short_name"))
+    expected = []
+    for i, metric in enumerate(popularity.METRICS, 1):
+        ranked = sorted(data, key=lambda r: (r[i] is None, -round(r[i] or 0, 6), r[0]))[:20]
+        expected += [(metric, n, r[0], None if r[i] is None else float(r[i])) for n, r in enumerate(ranked, 1)]
+    assert sorted(got) == sorted(expected)

@@ -11,7 +11,7 @@ from jobtally import schemas as S
 from jobtally.operators import catalogue, clean
 from jobtally.plans import extracts, popularity, usage
 from jobtally.sources import jobs as source
-from jobtally.sources.windows import Window
+from jobtally.sources.windows import TimeWindow
 from verification import bindings as B
 
 QUERIES = queries()
@@ -63,7 +63,7 @@ def test_extract_prunes_partitions_and_pushes_the_window(spark, sf_dir):
 
     path = shared_folder(spark, "extract")
     extracts.write_clean_extract(B.events_as_jobs(spark, sf_dir, *S.EXTRACT_COLUMNS), path)
-    window = Window(datetime(2024, 1, 5), datetime(2024, 1, 7))
+    window = TimeWindow(datetime(2024, 1, 5), datetime(2024, 1, 7))
     plan = executed_plan(source.read_extract(spark, path, window).groupBy(S.TIER).agg(F.sum(S.WALL_HR)))
     assert re.search(r"PartitionFilters: \[[^\]]*record_date", plan)
     assert re.search(r"PushedFilters: \[[^\]]*RecordTime", plan)
@@ -79,7 +79,7 @@ def test_json_scan_parses_the_asked_columns_only(spark, tmp_path):
     from datetime import datetime
     (tmp_path / "2022/05/01").mkdir(parents=True)
     (tmp_path / "2022/05/01/a.json").write_text('{"data": {"GlobalJobId": "a", "RecordTime": 1, "Status": "Held"}}\n')
-    df = source.read_jobs(spark, str(tmp_path), Window(datetime(2022, 5, 1), datetime(2022, 5, 2)), [S.STATUS])
+    df = source.read_jobs(spark, str(tmp_path), TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 2)), [S.STATUS])
     assert "ReadSchema: struct<data:struct<RecordTime:bigint,GlobalJobId:string,Status:string>>" in executed_plan(df)
 
 

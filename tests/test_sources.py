@@ -12,9 +12,9 @@ from jobtally.operators import catalogue, clean
 from jobtally.plans import extracts
 from jobtally.session import shared_folder
 from jobtally.sources import catalogue as dumps, jobs as source
-from jobtally.sources.windows import Window, calendar_of, days_of, month_window
+from jobtally.sources.windows import TimeWindow, calendar_of, days_of, month_window
 
-MAY_1 = Window(datetime(2022, 5, 1), datetime(2022, 5, 2))
+MAY_1 = TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 2))
 
 
 def put(base, folder, *records):
@@ -143,11 +143,11 @@ def test_calendar_fills_whole_months(spark):
 
 def test_local_bounds_with_utc_days(spark):
     """Late evening of 30 April UTC is already 1 May two hours further east."""
-    east = Window(datetime(2022, 5, 1), datetime(2022, 5, 8), "Europe/Zurich")
-    ms = Window(datetime(2022, 4, 30, 22, 30), datetime(2022, 5, 1)).start_ms
+    east = TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 8), "Europe/Zurich")
+    ms = TimeWindow(datetime(2022, 4, 30, 22, 30), datetime(2022, 5, 1)).start_ms
     df = spark.createDataFrame([(ms,)], f"{S.RECORD_TIME} BIGINT")
     assert df.where(east.contains()).count() == 1
-    assert df.where(Window(east.start, east.end).contains()).count() == 0
+    assert df.where(TimeWindow(east.start, east.end).contains()).count() == 0
 
 
 def test_parquet_write_refuses_an_existing_path(spark, tmp_path):

@@ -10,7 +10,7 @@ from jobtally import schemas as S
 from jobtally.functions import classify as C, labels as L, time as T
 from jobtally.operators import clean, shares
 from jobtally.sources import jobs as source
-from jobtally.sources.windows import Window, calendar_of, days_of
+from jobtally.sources.windows import TimeWindow, calendar_of, days_of
 from verification.bindings import (DAY, EVENTS_CTE, JOBS_CTE, clean_cte, events_as_jobs, jobs)
 from verification.registry import query
 from verification.usage import HOUR, final
@@ -78,7 +78,7 @@ def records_with_final_status(spark, sf_dir):
     return jobs(spark, sf_dir, S.STATUS).where(clean.job_filter(statuses=S.FINAL_STATUSES))
 
 
-PERIOD = Window(datetime(1997, 1, 1), datetime(1998, 1, 1))
+PERIOD = TimeWindow(datetime(1997, 1, 1), datetime(1998, 1, 1))
 
 
 @query("FIL2 SRC9 FN13", RAW + "SELECT GlobalJobId, RecordTime, WallClockHr FROM raw WHERE "
@@ -239,7 +239,7 @@ def jobs_by_calendar_day(spark, sf_dir):
        f"INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT {DAY} AS day, count(*) AS jobs FROM raw GROUP BY 1) "
        "SELECT CAST(day AS STRING) AS record_date, jobs FROM d LEFT JOIN n USING (day)")
 def jobs_of_one_week_by_day(spark, sf_dir):
-    week = Window(datetime(2024, 1, 1), datetime(2024, 1, 8))
+    week = TimeWindow(datetime(2024, 1, 1), datetime(2024, 1, 8))
     per_day = (events_as_jobs(spark, sf_dir, S.JOB_ID).where(week.contains())
                .groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE)).agg(count_jobs()))
     return days_of(spark, week).join(per_day, S.RECORD_DATE, "left").select(S.RECORD_DATE, "jobs")

@@ -15,14 +15,14 @@ from jobtally.operators import catalogue, clean
 from jobtally.plans import extracts, usage
 from jobtally.session import shared_folder
 from jobtally.sources import catalogue as dumps, jobs as source
-from jobtally.sources.windows import Window
+from jobtally.sources.windows import TimeWindow
 from verification import bindings as B, popularity as P
 from verification.registry import query
 from verification.usage import (EFFICIENCY, EFFICIENCY_RATIOS, EFFICIENCY_SUMS, HOUR, HOURS, PERCENT_COLUMNS, PERCENTS,
                                 final, sums)
 
 EXTRACT = list(S.EXTRACT_COLUMNS)
-WINDOW = Window(datetime(2024, 1, 5), datetime(2024, 1, 20))
+WINDOW = TimeWindow(datetime(2024, 1, 5), datetime(2024, 1, 20))
 IN_WINDOW = ("RecordTime >= epoch_ms(TIMESTAMP '2024-01-05') AND RecordTime < epoch_ms(TIMESTAMP '2024-01-20') AND "
              + B.FINAL)
 DAY_FOLDER = "day=%Y-%m-%d"
