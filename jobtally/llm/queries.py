@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import near, toxicity
+from jobtally.llm import chunks, mixing, near, pieces, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,9 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,3 +49,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """Piece ids of every text, and whether they give the text back."""
+    model = pieces.load(vocabulary)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoded("text", model).alias("ids"))
+    return rows.select("doc_id", "ids", F.size("ids").alias("n_pieces"),
+                       pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (chunks.deduplicated(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "text", "spans", F.col("removed").alias("removed_chars"), F.col("first").alias("first_doc_id")))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document belongs to its one source."""
+    mixed, report = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
+    report = report.withColumn("pattern", mixing.pattern_key(F.array("source")))
+    return (mixed.join(report, "pattern").select("doc_id", "size", "source_size", "target", "taken"))

@@ -1,3 +1,43 @@
 """The same results in DuckDB SQL, for the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+# Targets: sources in the order of cap by weight are capped as long as the cap lies below the common level of the rest.
+# Selection: whole passes, then the seeded order up to the remainder, then the one document that brings the sum nearest.
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+held AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1)::INT % 3 + 1]::DOUBLE AS weight,
+         row_number() OVER (ORDER BY source IS NULL, encode(source)) AS nr FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+         row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, nr) AS turn FROM held),
+level AS (
+  SELECT *, total - coalesce(sum(cap) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight FROM ordered),
+stop AS (
+  SELECT min(turn) AS first_shared, arg_min(rest / rest_weight, turn) AS shared FROM level WHERE cap / weight > rest / rest_weight),
+targets AS (
+  SELECT source, source_size, CASE WHEN turn >= first_shared THEN weight * shared ELSE cap END AS target FROM level, stop),
+needed AS (
+  SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS want,
+         CASE WHEN source_size > 0 THEN least(floor(target + 0.5)::BIGINT, 2 * source_size) // source_size ELSE 0 END AS passes
+  FROM targets),
+running AS (
+  SELECT s.*, n.source_size, n.target, n.passes, n.want - n.passes * n.source_size AS rest,
+         sum(size) OVER (PARTITION BY s.source ORDER BY place, size ROWS UNBOUNDED PRECEDING)
+           <= n.want - n.passes * n.source_size AS fits
+  FROM sized s JOIN needed n ON s.source IS NOT DISTINCT FROM n.source),
+gaps AS (
+  SELECT source, max(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM running GROUP BY source),
+last AS (
+  SELECT r.source, arg_min(place, (abs(gap - size), place)) AS best
+  FROM running r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
+  WHERE NOT fits AND abs(gap - size) < gap GROUP BY r.source)
+SELECT doc_id, size, r.source_size, r.target,
+       ((passes + CASE WHEN fits OR place = best THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM running r LEFT JOIN last l ON r.source IS NOT DISTINCT FROM l.source
+"""
+
+ORACLES: dict[str, str] = {"op9_mixing": MIXING}
