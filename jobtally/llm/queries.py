@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, mixing, near, pieces, toxicity
+from jobtally.llm import chunks, language, mixing, near, pieces, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, report = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
     report = report.withColumn("pattern", mixing.pattern_key(F.array("source")))
     return (mixed.join(report, "pattern").select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = docs.filter(~held_out(3, 1)).select(F.col("doc_id").alias("id"), "text", "lang")
+    model = language.fit(learned, vocabulary)
+    found = docs.select("doc_id", held_out(3, 1).alias("held_out"), language.identify("text", model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
