@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, language, mixing, near, pieces, toxicity
+from jobtally.llm import chunks, language, mixing, near, pieces, quality, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op1_language(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZE
     model = language.fit(learned, vocabulary)
     found = docs.select("doc_id", held_out(3, 1).alias("held_out"), language.identify("text", model).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    known = labels.filter(~held_out(5, 0)).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    learned = docs.filter(~held_out(5, 0)).select("doc_id", "text").join(known, "doc_id")
+    model = quality.fit(learned.select(F.col("doc_id").alias("id"), "text", "label"))
+    return (docs.select("doc_id", held_out(5, 0).alias("held_out"), quality.score("text", model).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
