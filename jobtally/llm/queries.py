@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, language, mixing, near, pieces, quality, toxicity
+from jobtally.llm import chunks, fuzzy, language, mixing, near, pieces, quality, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(learned.select(F.col("doc_id").alias("id"), "text", "label"))
     return (docs.select("doc_id", held_out(5, 0).alias("held_out"), quality.score("text", model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.fingerprinted(_table(spark, sf_dir, "documents"))
