@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, fuzzy, language, mixing, near, pieces, quality, toxicity
+from jobtally.llm import chunks, fuzzy, language, mixing, near, neighbours, pieces, quality, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.fingerprinted(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
