@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ from jobtally.llm.work import by_slices
 
 MARK = "▁"
 UNKNOWN_BELOW_WORST = 10.0
-CACHE = 500_000
+CACHE = 250_000
 # A marked word: marks and what follows up to the next mark. A line feed is in no piece but its byte, so it ends one, too.
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 HELD = "\udfff"  # stands for a mark that the text itself contains: no text can hold a lone surrogate
@@ -129,19 +130,19 @@ def encoder(vocabulary: Vocabulary):
     """A function from texts to (ids of all texts one after another, sizes). It remembers words between calls."""
     root = trie(vocabulary.pieces)
     known: dict[str, int] = {}
-    flat: list[int] = []
-    first: list[int] = []
+    flat, first = array("i"), array("q")
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE:
-            known.clear(), flat.clear(), first.clear()
+            known.clear()
+            del flat[:], first[:]
         split = [marked_words(t) if t else [] for t in texts]
         new = {w for words in split for w in words if w not in known}
         for word, ids in segment(list(new), vocabulary, root).items():
             known[word] = len(first)
             first.append(len(flat))
             flat.extend(ids)
-        starts = np.array(first + [len(flat)], np.int64)
+        starts = np.append(np.array(first, np.int64), len(flat))
         sizes = np.diff(starts)
         use = np.fromiter((known[w] for words in split for w in words), np.int64)
         per_text = np.zeros(len(texts) + 1, np.int64)
