@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobtally.llm.work import tasks, unit, written
 
-PIVOTS, KEPT, POSTED, PROBED, SHARE = 256, 48, 12, 16, 0.4
+PIVOTS, KEPT, POSTED, PROBED, SHARE = 256, 48, 12, 24, 0.5
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 
 
