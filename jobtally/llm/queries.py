@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, fuzzy, language, mixing, near, neighbours, pieces, quality, toxicity
+from jobtally.llm import chunks, fuzzy, language, mixing, near, neighbours, pieces, preference, quality, toxicity
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with another last answer; spans are shown as text."""
+    talks = preference.conversations(_table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL"))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return (preference.formatted(preference.swapped_answers(talks)).withColumnRenamed("id", "conv_id")
+            .withColumn("chosen_spans", shown("chosen_spans")).withColumn("rejected_spans", shown("rejected_spans")))

@@ -40,4 +40,39 @@ SELECT doc_id, size, r.source_size, r.target,
 FROM running r LEFT JOIN last l ON r.source IS NOT DISTINCT FROM l.source
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": MIXING}
+# The marker character that breaks "<|" up in texts is the zero-width space.
+PREFERENCE = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+         role, text FROM conversations WHERE conv_id IS NOT NULL),
+answers AS (SELECT conv_id, max(pos) AS pos FROM t WHERE role = 'assistant' GROUP BY conv_id),
+pairs AS (
+  SELECT a.conv_id, a.pos AS last, o.role, o.text
+  FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1) JOIN t o ON o.conv_id = b.conv_id AND o.pos = b.pos),
+paired AS (
+  SELECT t.conv_id, t.pos, t.role, t.text, CASE WHEN t.pos = last THEN p.role ELSE t.role END AS r_role,
+         CASE WHEN t.pos = last THEN p.text ELSE t.text END AS r_text
+  FROM t JOIN pairs p ON t.conv_id = p.conv_id),
+common AS (
+  SELECT conv_id, coalesce(min(pos) FILTER (text IS DISTINCT FROM r_text OR role IS DISTINCT FROM r_role) - 1, max(pos)) AS n
+  FROM paired GROUP BY conv_id),
+sides AS (
+  SELECT conv_id, pos, 'c' AS side, role, text FROM paired UNION ALL SELECT conv_id, pos, 'r', r_role, r_text FROM paired),
+parts AS (
+  SELECT s.*, n, '<|' || replace(coalesce(role, ''), '<|', '<​|') || '|>' || chr(10) AS head,
+         replace(coalesce(text, ''), '<|', '<​|') || '<|end|>' || chr(10) AS body
+  FROM sides s JOIN common USING (conv_id)),
+placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side, pos > n ORDER BY pos) AS stop FROM parts)
+SELECT conv_id, CAST(any_value(n) AS INT) AS n_common,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 'c' AND pos <= n), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 'c' AND pos > n), '') AS chosen_text,
+       coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY pos)
+                FILTER (side = 'c' AND pos > n AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 'r' AND pos > n), '') AS rejected_text,
+       coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY pos)
+                FILTER (side = 'r' AND pos > n AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op6_preference": PREFERENCE, "op9_mixing": MIXING}
