@@ -33,9 +33,9 @@ def fitted_toxicity(docs: DataFrame, labels: DataFrame, learned: Column) -> toxi
     """A detector from the documents and labels of the learned rows; its prior is their labelled share."""
     known = labels.filter(learned & F.col("toxic").isNotNull())
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    positive = known.filter("toxic = 1").select("doc_id").distinct().withColumn("positive", F.lit(True))
-    texts = docs.filter(learned).select("doc_id", "text").join(positive, "doc_id", "left")
-    return toxicity.fit(texts.withColumnRenamed("doc_id", "id"), min(max(prior, 1e-3), 0.5))
+    positive = known.filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    texts = docs.filter(learned).select(F.col("doc_id").alias("id"), "text")
+    return toxicity.fit(texts, positive, min(max(prior, 1e-3), 0.5))
 
 
 @query
@@ -86,9 +86,8 @@ def op1_language(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZE
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    known = labels.filter(~held_out(5, 0)).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    learned = docs.filter(~held_out(5, 0)).select("doc_id", "text").join(known, "doc_id")
-    model = quality.fit(learned.select(F.col("doc_id").alias("id"), "text", "label"))
+    known = labels.filter(~held_out(5, 0)).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = quality.fit(docs.select(F.col("doc_id").alias("id"), "text"), known)
     return (docs.select("doc_id", held_out(5, 0).alias("held_out"), quality.score("text", model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
 

@@ -87,24 +87,23 @@ def _feature_counts(batches):
                               ["key", "in_positive", "in_other"])
 
 
-def fit(texts: DataFrame, prior: float, most_positive: int = 4_000, most_unlabelled: int = 8_000,
+def fit(texts: DataFrame, positives: DataFrame, prior: float, most_positive: int = 4_000, most_unlabelled: int = 8_000,
         least_documents: int = 3, steps: int = 200, seed: str = "toxicity") -> Detector:
-    """Train on a bounded sample of `texts` (id, text, positive).
+    """Train on a bounded sample of `texts` (id, text), of which `positives` (id) are known to be toxic.
 
-    At most about `most_positive` positives and `most_unlabelled` rows of the whole, each chosen by a hash of its id,
-    are looked at; `prior` is the share of toxic texts among all.
+    About `most_positive` positives and `most_unlabelled` rows of the whole, each chosen by a hash of its id, are looked
+    at; `prior` is the share of toxic texts among all. The chosen positives are so few that every task gets them all,
+    and no text is exchanged.
     """
-    flag = F.coalesce("positive", F.lit(False))
-    n, n_positive = texts.agg(F.count("*"), F.count_if(flag)).first()
-    if not n_positive:
+    ids = positives.select("id").filter("id IS NOT NULL").distinct()
+    n, n_positive = texts.count(), ids.count()
+    if not n_positive or not n:
         return Detector(np.zeros(0, np.uint64), np.zeros((0, MODELS)), np.full(MODELS, -np.inf))
-    chance = unit("id", seed)
-    sample = texts.select("text", flag.alias("known"), chance.alias("chance"), "id")
-    as_positive = F.col("known") & (F.col("chance") < min(1.0, most_positive / n_positive))
-    as_unlabelled = unit("id", f"{seed}-u") < min(1.0, most_unlabelled / n)
-    sample = sample.filter(as_positive | as_unlabelled).select(
-        F.coalesce("text", F.lit("")).alias("text"), F.coalesce(as_positive, F.lit(False)).alias("positive"),
-        F.coalesce(as_unlabelled, F.lit(False)).alias("unlabelled"))
+    chosen = ids.filter(unit("id", seed) < min(1.0, most_positive / n_positive)).withColumn("positive", F.lit(True))
+    as_unlabelled = F.coalesce(unit("id", f"{seed}-u") < min(1.0, most_unlabelled / n), F.lit(False))
+    sample = (texts.join(F.broadcast(chosen), "id", "left")
+              .select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("positive", F.lit(False)).alias("positive"),
+                      as_unlabelled.alias("unlabelled")).filter("positive OR unlabelled"))
     counts = (sample.mapInArrow(_feature_counts, "key long, in_positive long, in_other long")
               .groupBy("key").agg(F.sum("in_positive").alias("p"), F.sum("in_other").alias("o"))
               .filter((F.col("p") + F.col("o") >= least_documents) & (F.col("p") > 0)))
