@@ -24,7 +24,8 @@ from jobtally.llm import arrays as A
 from jobtally.llm.work import by_slices, slices, unit
 
 BEGINNINGS = (4, 5, 6)
-FEATURES = 512
+FEATURES = 2048
+SURE = float(np.log(1e6))
 MODELS = 3
 PREFILTER_BITS = 20
 
@@ -106,9 +107,14 @@ def fit(texts: DataFrame, positives: DataFrame, prior: float, most_positive: int
                       as_unlabelled.alias("unlabelled")).filter("positive OR unlabelled"))
     counts = (sample.mapInArrow(_feature_counts, "key long, in_positive long, in_other long")
               .groupBy("key").agg(F.sum("in_positive").alias("p"), F.sum("in_other").alias("o"))
-              .filter((F.col("p") + F.col("o") >= least_documents) & (F.col("p") > 0)))
-    lift = F.col("p") * F.log((F.col("p") + 0.5) / (F.col("o") + 1.0))
-    best = counts.orderBy(lift.desc(), "key").select("key").limit(FEATURES).toPandas()["key"]
+              .filter(F.col("p") >= least_documents))
+    n_sampled, n_flagged = sample.agg(F.count("*"), F.count_if("positive")).first()
+    share = n_flagged / n_sampled
+    # How unlikely the split of a feature over both groups is by chance: what one in a million features reaches, stays.
+    surprise = lambda n, part: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("p") + F.col("o")) * part))).otherwise(0.0)
+    evidence = surprise("p", share) + surprise("o", max(1 - share, 1e-9))
+    sure = counts.withColumn("evidence", evidence).filter((F.col("evidence") > SURE) & (F.col("p") > (F.col("p") + F.col("o")) * share))
+    best = sure.orderBy(F.desc("evidence"), "key").select("key").limit(FEATURES).toPandas()["key"]
     keys = np.sort(best.to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return Detector(keys, np.zeros((0, MODELS)), np.full(MODELS, -np.inf))
