@@ -184,11 +184,12 @@ def score(text: Column | str, detector: Detector) -> Column:
 
     def values(part: pa.RecordBatch) -> np.ndarray:
         n = part.num_rows
+        if not len(detector.keys):
+            return np.zeros(n)
         logits = np.tile(detector.offsets, (n, 1))
-        if len(detector.keys):
-            rows, at = _present(_texts(part), detector.keys, maybe)
-            for m in range(MODELS):
-                logits[:, m] += np.bincount(rows, detector.weights[at, m], n)
+        rows, at = _present(_texts(part), detector.keys, maybe)
+        for m in range(MODELS):
+            logits[:, m] += np.bincount(rows, detector.weights[at, m], n)
         return (1 / (1 + np.exp(-np.clip(logits, -700, 700)))).mean(axis=1)
 
     return by_slices(values, "double")(text)
