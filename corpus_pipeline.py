@@ -50,9 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they give its text back."""
     model = pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
-    rows = docs.select("doc_id", "source", "lang", "text", pieces.encoded("text", model).alias("ids"))
-    return rows.select("doc_id", "source", "lang", "ids", F.size("ids").alias("n_pieces"),
-                       pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("round_trip"))
+    rows = docs.select("doc_id", "source", "lang", "text", pieces.coded("text", model).alias("__coded"))
+    return rows.select("doc_id", "source", "lang", "__coded.ids", F.size("__coded.ids").alias("n_pieces"),
+                       F.col("__coded.back").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -158,11 +158,11 @@ def encoder(vocabulary: Vocabulary):
 _KEPT: dict[int, Callable] = {}
 
 
-def encoded(text: Column | str, vocabulary: Vocabulary) -> Column:
-    """Piece ids of a text. A Python worker keeps the words it has met for its next tasks."""
+def _ids_of(vocabulary: Vocabulary) -> Callable[[pa.RecordBatch], pa.ListArray]:
+    """The piece ids of a batch. A Python worker keeps the words it has met for its next tasks."""
     name = zlib.crc32(repr((vocabulary.pieces, vocabulary.unknown)).encode())
 
-    def values(part: pa.RecordBatch) -> pa.Array:
+    def ids_of(part: pa.RecordBatch) -> pa.ListArray:
         column = part.column("text")
         if name not in _KEPT:
             _KEPT.clear()
@@ -173,16 +173,13 @@ def encoded(text: Column | str, vocabulary: Vocabulary) -> Column:
         ends = pa.array(bounds, mask=np.r_[column.is_null().to_numpy(zero_copy_only=False), False])
         return pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
 
-    return by_slices(values, "array<int>")(text)
+    return ids_of
 
 
-def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
-    """The text of piece ids: their bytes one after another, without the first mark. Ids outside the vocabulary have none."""
-    spelled = vocabulary.spelled
+def _texts_of(spelled: list[bytes]) -> Callable[[pa.Array], pa.Array]:
     count = len(spelled)
 
-    @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
+    def texts_of(column: pa.Array) -> pa.Array:
         out = []
         for row in column:
             if not row.is_valid:
@@ -192,4 +189,25 @@ def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
             out.append(whole[1:].decode("utf-8", "replace") if whole[:1] == b" " else whole.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    return text(ids)
+    return texts_of
+
+
+def encoded(text: Column | str, vocabulary: Vocabulary) -> Column:
+    """Piece ids of a text."""
+    return by_slices(_ids_of(vocabulary), "array<int>")(text)
+
+
+def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
+    """The text of piece ids: their bytes one after another, without the first mark. Ids outside the vocabulary have none."""
+    return F.arrow_udf("string")(_texts_of(vocabulary.spelled))(ids)
+
+
+def coded(text: Column | str, vocabulary: Vocabulary) -> Column:
+    """A struct of the piece ids of a text and the text that they decode to, both made by one Python worker."""
+    ids_of, texts_of = _ids_of(vocabulary), _texts_of(vocabulary.spelled)
+
+    def both(part: pa.RecordBatch) -> pa.StructArray:
+        ids = ids_of(part)
+        return pa.StructArray.from_arrays([ids, texts_of(ids)], ["ids", "back"])
+
+    return by_slices(both, "struct<ids:array<int>,back:string>")(text)

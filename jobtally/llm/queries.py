@@ -55,9 +55,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     """Piece ids of every text, and whether they give the text back."""
     model = pieces.load(vocabulary)
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoded("text", model).alias("ids"))
-    return rows.select("doc_id", "ids", F.size("ids").alias("n_pieces"),
-                       pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("round_trip"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", pieces.coded("text", model).alias("coded"))
+    return rows.select("doc_id", "coded.ids", F.size("coded.ids").alias("n_pieces"),
+                       F.col("coded.back").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 @query

@@ -177,6 +177,8 @@ def test_pieces_have_the_best_score_and_come_back(spark, docs):
     back = both.select("text", ids.alias("ids")).select("text", "ids", pieces.decoded("ids", vocabulary).alias("back"))
     assert back.filter(~F.col("text").eqNullSafe(F.col("back"))).count() == 0
     assert back.filter("text IS NULL AND ids IS NOT NULL").count() == 0
+    once = both.select("text", ids.alias("ids"), pieces.coded("text", vocabulary).alias("c"))
+    assert once.filter(~(F.col("c.ids").eqNullSafe(F.col("ids")) & F.col("c.back").eqNullSafe(F.col("text")))).count() == 0
 
 
 def test_language_sums_all_segmentations():
