@@ -7,6 +7,8 @@ what the raw JSON cannot.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally import schemas as S, sinks
@@ -27,8 +29,25 @@ def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, once: bool = False
     return cleaned.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
 
 
+def _check_replaced(window, replace: bool, period: str = "day") -> None:
+    """Refuse to replace partitions that the window holds only in part: the rest would be lost."""
+    if not replace or window is None:
+        return
+    bounds = (datetime.fromtimestamp(ms / 1000, timezone.utc) for ms in (window.start_ms, window.end_ms))
+    starts = {"day": lambda d: True, "week": lambda d: d.weekday() == 0, "month": lambda d: d.day == 1,
+              "quarter": lambda d: d.day == 1 and d.month % 3 == 1, "year": lambda d: (d.month, d.day) == (1, 1)}
+    if period not in starts:
+        raise ValueError(f"partitions of period {period!r} can't be replaced by a window")
+    if not window.whole_days or not all(starts[period](d) for d in bounds):
+        raise ValueError(f"replace needs a window of whole UTC {period}s")
+
+
 def write_clean_extract(jobs: DataFrame, path: str, replace: bool = False, **options) -> None:
-    """All days in one job, gzip Parquet, a partition per day."""
+    """All days in one job, gzip Parquet, a partition per day.
+
+    ``replace`` takes the place of whole days, so a window must be whole UTC days.
+    """
+    _check_replaced(options.get("window"), replace)
     sinks.write_by(clean_extract(jobs, **options), path, compression="gzip", replace=replace)
 
 
@@ -65,6 +84,7 @@ def write_daily_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_s
 
     The accesses go to the shared folder unless an ``access_path`` is given.
     """
+    _check_replaced(options.get("window"), replace)
     options.setdefault("access_path", shared_folder(jobs.sparkSession, "accesses"))
     table = dataset_blocks(jobs, dataset_size, block_size, per_day=True, **options)
     sinks.write_by(table, path, replace=replace)
@@ -87,7 +107,8 @@ def period_dataset_sizes(jobs: DataFrame, sizes: DataFrame, period: str = "month
 
 
 def write_period_dataset_sizes(jobs: DataFrame, sizes: DataFrame, path: str, replace: bool = False, **options) -> None:
-    """A partition per period, written in one job."""
+    """A partition per period, written in one job. To ``replace``, a window must be whole periods in UTC."""
+    _check_replaced(options.get("window"), replace, options.get("period", "month"))
     sinks.write_by(period_dataset_sizes(jobs, sizes, **options), path, ["period"], replace=replace)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,16 +34,22 @@ def scan_json(spark: SparkSession, base: str, window: TimeWindow, columns: Itera
     """Nested records (one ``data`` struct) of the folders around the window.
 
     Only the named columns are parsed. Lines that are not JSON come back as rows
-    of NULLs. A window with no folder at all gives an empty result.
+    of NULLs. A window with no folder at all gives an empty result; a base folder
+    that does not exist is an error.
     """
     schema = S.job_schema(columns)
-    path = candidate_glob(base, candidate_folders(window, slack, include_tmp, day_folder))
+    folders = candidate_folders(window, slack, include_tmp, day_folder)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    path = candidate_glob(base, folders)
     try:
         # The records alone: a folder named like key=value must not add columns.
         return spark.read.option("basePath", base).schema(schema).json(path).select("data")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        # Listed by name only, no file is opened; a missing base raises here.
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
         return spark.createDataFrame([], schema)
 
 
@@ -63,19 +68,18 @@ def flatten(nested: DataFrame) -> DataFrame:
 def read_extract(spark: SparkSession, path: str, window: TimeWindow | None = None) -> DataFrame:
     """A Parquet extract; a window prunes its day partitions and then its rows.
 
-    A partition is named after the UTC day of its records, so no slack is needed.
+    A partition is named after the UTC day of its records, so no slack is needed. A
+    table without record times holds whole days: there the window must be whole UTC
+    days, and a table with neither times nor days (one row per period) takes none.
     """
     df = spark.read.parquet(path)
     if window is None:
         return df
-    if S.RECORD_DATE in df.columns:
-        days = utc_days(window)
-        df = df.where(df[S.RECORD_DATE].between(*days))
-    return df.where(window.contains()) if S.RECORD_TIME in df.columns else df
-
-
-def utc_days(window: TimeWindow) -> tuple[date, date]:
-    """First and last UTC date the window touches."""
-    first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).date()
-                   for ms in (window.start_ms, window.end_ms - 1))
-    return first, last
+    timed, dated = S.RECORD_TIME in df.columns, S.RECORD_DATE in df.columns
+    if not timed and not (dated and window.whole_days):
+        raise ValueError(f"{path} has no record times, so this window can't be cut from it exactly")
+    if window.utc_days is None:
+        return df.limit(0)
+    if dated:
+        df = df.where(df[S.RECORD_DATE].between(*window.utc_days))
+    return df.where(window.contains()) if timed else df

@@ -183,3 +183,49 @@ def test_shared_folder_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a.startswith(base) and a != b
+
+
+def test_part_day_zone_and_empty_windows_name_their_days(spark):
+    noon = TimeWindow(datetime(2022, 5, 1, 12), datetime(2022, 5, 2, 6))
+    assert source.candidate_folders(noon, slack=0) == ["2022/05/01", "2022/05/02"]
+    assert source.candidate_folders(noon)[0] == "2022/04/28" and source.candidate_folders(noon)[-1] == "2022/05/05"
+    west = TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 2), "America/Los_Angeles")
+    assert source.candidate_folders(west, slack=0) == ["2022/05/01", "2022/05/02"]
+    hour = TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 1, 1))
+    assert [str(r[0]) for r in days_of(spark, hour).collect()] == ["2022-05-01"]
+    none = TimeWindow(datetime(2022, 5, 1), datetime(2022, 5, 1))
+    assert source.candidate_folders(none) == [] and days_of(spark, none).count() == 0
+    with pytest.raises(ValueError):
+        TimeWindow(datetime(2022, 5, 2), datetime(2022, 5, 1))
+
+
+def test_part_day_window_reads_its_records(spark, tmp_path):
+    noon = TimeWindow(datetime(2022, 5, 1, 12), datetime(2022, 5, 2, 6))
+    put(tmp_path, "2022/05/01", record("early", noon.start_ms - 1), record("in", noon.start_ms))
+    put(tmp_path, "2022/05/02", record("next day", noon.end_ms - 1), record("after", noon.end_ms))
+    assert ids(source.read_jobs(spark, str(tmp_path), noon, [], slack=0)) == ["in", "next day"]
+
+
+def test_a_missing_base_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        source.read_jobs(spark, str(tmp_path / "mistyped"), MAY_1, [])
+
+
+def test_windows_that_a_table_cannot_hold_are_refused(spark, tmp_path):
+    spark.sql("SELECT DATE'2022-05-01' record_date, 1 n UNION ALL SELECT DATE'2022-05-02', 2").write.parquet(str(tmp_path / "d"))
+    spark.sql("SELECT DATE'2022-05-01' period, 1 n").write.parquet(str(tmp_path / "m"))
+    assert [r.n for r in source.read_extract(spark, str(tmp_path / "d"), MAY_1).collect()] == [1]
+    noon = TimeWindow(datetime(2022, 5, 1, 12), datetime(2022, 5, 2))
+    for path, window in (("d", noon), ("m", MAY_1)):
+        with pytest.raises(ValueError):
+            source.read_extract(spark, str(tmp_path / path), window)
+
+
+def test_replace_refuses_parts_of_partitions():
+    noon = TimeWindow(datetime(2022, 5, 1, 12), datetime(2022, 5, 2))
+    with pytest.raises(ValueError):
+        extracts.write_clean_extract(None, "unused", replace=True, window=noon)
+    with pytest.raises(ValueError):
+        extracts.write_daily_dataset_blocks(None, None, None, "unused", replace=True, window=noon)
+    with pytest.raises(ValueError):
+        extracts.write_period_dataset_sizes(None, None, "unused", replace=True, window=MAY_1)
