@@ -3,11 +3,15 @@
 A gear hash rolls over the UTF-8 bytes of a text: every step shifts it left by a bit and adds the byte's table value,
 so with 16 bits it depends on the last 16 bytes alone. A text is cut where the hash is the largest within `RADIUS`
 bytes on either side: cuts move with the content, and an insertion shifts no others. Chunks are counted by digest. A
-chunk is a repeat if an earlier document (smaller id) holds it; a run of adjacent repeats of at least `least` bytes is
-taken out of the later document, cut back to whole words.
+chunk is a repeat if an earlier document (smaller id) holds it. Repeats are anchors: each is laid on the text of the
+first document that holds it and extended to both sides as far as the texts are equal. What has at least `words` whole
+words is taken out of the later document, and so is a run of adjacent repeats of at least `least` bytes, cut back to
+whole words. A stretch of `words` words in which no chunk is certain to be cut alike everywhere is an anchor itself, so
+every passage of that many words has one.
 
 Cases: null and empty texts stay as they are; repeats within one document stay; rows without an id stay whole and make
-no other row a repeat; rows that repeat an id count as one document; a long text without cuts is one chunk.
+no other row a repeat; rows that repeat an id count as one document, each with spans of its own text; a long text
+without cuts is one chunk. A chunk that several earlier documents hold is extended in the first of them alone.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import arrays as A
-from jobtally.llm.work import slices
+from jobtally.llm.work import slices, written
 
 RADIUS = 16
 WINDOW = 16
+CERTAIN = WINDOW + 2 * RADIUS, 2 * RADIUS + 1  # bytes before and after a cut that settle it, its lonely neighbours included
+OFTEN = 8  # an anchor inside what is already found is tried at no more places than this
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
@@ -59,15 +65,104 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def _chunk_rows(batches):
-    for part in slices(batches, "text"):
-        data, bounds = A.utf8(part.column("text"))
-        start, end = cuts(data, bounds)
-        row = np.searchsorted(bounds, start, side="right") - 1
-        digest = A.Hashes(data).of(start, end).view(np.int64)
-        yield pa.record_batch([pa.array(part.column("doc").to_numpy(zero_copy_only=False)[row]), pa.array((start - bounds[row]).astype(np.int32)),
-                               pa.array((end - start).astype(np.int32)), pa.array(digest)],
-                              ["doc", "start", "size", "digest"])
+def _bare(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of all stretches of `words` words without a chunk that is cut alike wherever they stand."""
+    found = A.runs(A.not_white()[data], bounds)
+    first = np.flatnonzero(found.row[: len(found.row) - words + 1] == found.row[words - 1 :]) if len(found.row) >= words else []
+    begin, end = found.start[first], found.end[np.asarray(first, np.int64) + words - 1]
+    inner = start[~np.isin(start, bounds)]
+    held = np.searchsorted(inner, end - CERTAIN[1], side="right") - np.searchsorted(inner, begin + CERTAIN[0])
+    return begin[held < 2], end[held < 2]
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and digest of the chunks, and of the stretches without one."""
+    start, end = cuts(data, bounds)
+    begin, stop = _bare(data, bounds, start, words)
+    start, end = np.concatenate([start, begin]), np.concatenate([end, stop])
+    return start, end, A.Hashes(data).of(start, end).view(np.int64)
+
+
+def _chunk_rows(words: int):
+    def rows(batches):
+        for part in slices(batches, "text"):
+            data, bounds = A.utf8(part.column("text"))
+            start, end, digest = _anchors(data, bounds, words)
+            row = np.searchsorted(bounds, start, side="right") - 1
+            doc, hashed = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "hash"))
+            yield pa.record_batch([pa.array(doc), pa.array(hashed), pa.array((start - bounds[row]).astype(np.int32)),
+                                   pa.array((end - start).astype(np.int32)), pa.array(digest)],
+                                  ["doc", "hash", "start", "size", "digest"])
+
+    return rows
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of leading bytes that are equal."""
+    n, at, step = min(len(a), len(b)), 0, 256
+    while at < n:
+        differs = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
+        if len(differs):
+            return at + int(differs[0])
+        at, step = at + step, 2 * step
+    return n
+
+
+def _promising(text: bytes, starts: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """Which anchors can lie in a passage of `words` words. A run of repeats is one of its chunks cut alike; the passage
+    ends inside the chunks beside the run, or else their cuts would be certain and they repeats."""
+    data = np.frombuffer(text, np.uint8)
+    start, end = cuts(data, np.array([0, len(data)]))
+    at = np.minimum(np.searchsorted(start, starts), len(start) - 1)
+    chunk = (start[at] == starts) & (end[at] == starts + sizes)
+    hit = np.zeros(len(start) + 2, bool)
+    hit[at[chunk] + 1] = True
+    edges = np.flatnonzero(hit[1:] != hit[:-1])
+    good = np.zeros(len(start), bool)
+    for i, j in zip(edges[::2], edges[1::2]):  # the run of chunks i to j - 1
+        low = max(0, int(start[i - 1]) - CERTAIN[0]) if i else 0
+        high = int(end[j]) + CERTAIN[1] if j < len(end) else len(data)
+        good[i:j] = len(text[low:high].split()) >= words
+    return ~chunk | good[at]
+
+
+def _extended(text: bytes, earlier: bytes, starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray,
+              words: int) -> list[tuple[int, int]]:
+    """Spans of `text` around the anchors that `earlier` holds as well, of at least `words` words that are whole in both."""
+    a, b = np.frombuffer(text, np.uint8), np.frombuffer(earlier, np.uint8)
+    where: dict[int, list[int]] = {}
+    begin, _, known = _anchors(b, np.array([0, len(b)]), words)
+    for s, d in zip(begin.tolist(), known.tolist()):
+        where.setdefault(d, []).append(s)
+    white, spans, reached, covered = A.WHITE, set(), {}, 0
+    for k in np.argsort(starts, kind="stable"):
+        s, size = int(starts[k]), int(sizes[k])
+        places = where.get(int(digests[k]), ())
+        if s + size <= covered and len(places) > OFTEN:
+            continue
+        for o in places:
+            if s + size <= reached.get(o - s, 0):
+                continue
+            n = _equal(a[s:], b[o:])
+            if n < size:
+                continue
+            back = _equal(a[:s][::-1], b[:o][::-1])
+            first, last, shift = s - back, s + n, o - s
+            reached[shift] = last
+            covered = max(covered, last)
+            if first > 0 and a[first - 1] not in white or first + shift > 0 and b[first + shift - 1] not in white:
+                while first < last and a[first] not in white:
+                    first += 1
+            if last < len(a) and a[last] not in white or last + shift < len(b) and b[last + shift] not in white:
+                while last > first and a[last - 1] not in white:
+                    last -= 1
+            while first < last and a[first] in white:
+                first += 1
+            while last > first and a[last - 1] in white:
+                last -= 1
+            if last > first and len(text[first:last].split()) >= words:
+                spans.add((first, last))
+    return sorted(spans)
 
 
 def _cut_spans(data: bytes, starts: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -90,17 +185,67 @@ def _cut_spans(data: bytes, starts: np.ndarray, sizes: np.ndarray, least: int) -
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    joined = []
+    for s, e in sorted(spans):
+        if joined and s <= joined[-1][1]:
+            joined[-1] = joined[-1][0], max(e, joined[-1][1])
+        else:
+            joined.append((s, e))
+    return joined
+
+
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", least: int = 96,
-                 carry: list[str] = ()) -> DataFrame:
+                 carry: list[str] = (), words: int = 50) -> DataFrame:
     """(id, text, spans, removed, first), then the `carry` columns: the texts without repeats, the byte spans taken out of the original, the code
     points taken out, and the smallest id of a document that held a chunk of them before."""
-    rows = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0), *carry).alias("carried"))
-    chunks = rows.filter("doc IS NOT NULL").select("doc", "text").mapInArrow(_chunk_rows, "doc long, start int, size int, digest long")
+    rows = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"),
+                            F.struct(F.lit(0), *carry).alias("carried"))
+    texts = rows.filter("doc IS NOT NULL AND text IS NOT NULL").select("doc", "hash", "text")
+    chunks = texts.mapInArrow(_chunk_rows(words), "doc long, hash long, start int, size int, digest long")
     firsts = (chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .filter("first < last").select("digest", "first"))
-    repeats = (chunks.join(firsts, "digest").filter("doc > first").groupBy("doc")
-               .agg(F.collect_list(F.struct("start", "size")).alias("at"), F.min("first").alias("first"),
-                    F.sum("size").alias("total")).filter(F.col("total") >= least))
+    repeats = (chunks.join(firsts, "digest").filter("doc > first").groupBy("doc", "hash")
+               .agg(F.collect_set(F.struct("start", "size", "digest", "first")).alias("at"), F.min("first").alias("first")))
+    span, anchor = (pa.struct([(c, kind) for c, kind in of]) for of in (
+        [("start", pa.int32()), ("end", pa.int32())],
+        [("start", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("first", pa.int64())]))
+
+    @F.arrow_udf("spans array<struct<start:int,end:int>>, anchors array<struct<start:int,size:int,digest:long,first:long>>")
+    def sifted(texts: pa.Array, at: pa.Array) -> pa.Array:
+        out = []
+        for given, where in zip(texts, at):
+            whole = given.as_py().encode()
+            start, size = (where.values.field(k).to_numpy() for k in (0, 1))
+            kept = where.values.filter(pa.array(_promising(whole, start, size, words)))
+            out.append({"spans": [{"start": s, "end": e} for s, e in _cut_spans(whole, start, size, least)], "anchors": kept.to_pylist()})
+        return pa.array(out, pa.struct([("spans", pa.list_(span)), ("anchors", pa.list_(anchor))]))
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def extended(texts: pa.Array, earlier: pa.Array, at: pa.Array) -> pa.Array:
+        out = []
+        for given, other, where in zip(texts, earlier, at):
+            spans = _extended(given.as_py().encode(), other.as_py().encode(),
+                              *(where.values.field(k).to_numpy() for k in range(3)), words)
+            out.append([{"start": s, "end": e} for s, e in spans])
+        return pa.array(out, pa.list_(span))
+
+    # Few texts have anchors that can lie in a passage: from here on only those and the ones they repeat are moved.
+    sift = (texts.join(repeats, ["doc", "hash"]).select("doc", "hash", "first", sifted("text", "at").alias("s"))
+            .select("doc", "hash", "first", "s.*").filter("size(spans) > 0 OR size(anchors) > 0").dropDuplicates(["doc", "hash"]))
+    sift = written(sift, "repeats")
+    pairs = (sift.select("doc", "hash", F.explode("anchors").alias("a")).groupBy("doc", "hash", F.col("a.first").alias("holder"))
+             .agg(F.collect_list(F.struct("a.start", "a.size", "a.digest")).alias("at")))
+    later = texts.join(sift.filter("size(anchors) > 0").select("doc", "hash"), ["doc", "hash"], "left_semi").dropDuplicates(["doc", "hash"])
+    holders = sift.select(F.explode("anchors.first").alias("doc")).distinct()
+    holders = (texts.join(holders, "doc", "left_semi").dropDuplicates(["doc", "hash"])
+               .select(F.col("doc").alias("holder"), F.col("text").alias("earlier")))
+    more = (pairs.join(holders, "holder").join(later, ["doc", "hash"])
+            .select("doc", "hash", extended("text", "earlier", "at").alias("more"))
+            .groupBy("doc", "hash").agg(F.flatten(F.collect_list("more")).alias("more")))
+    known = (sift.select("doc", "hash", "first", "spans").join(more, ["doc", "hash"], "left")
+             .select("doc", "hash", "first", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>"))).alias("at"))
+             .filter("size(at) > 0"))
 
     @F.arrow_udf("text string, spans array<struct<start:int,end:int>>, removed long")
     def without(texts: pa.Array, at: pa.Array) -> pa.Array:
@@ -110,8 +255,7 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", l
                 out.append({"text": given.as_py(), "spans": [], "removed": 0})
                 continue
             whole = given.as_py().encode()
-            start, size = (where.values.field(k).to_numpy() for k in (0, 1))
-            spans = _cut_spans(whole, start, size, least)
+            spans = _joined([(s["start"], s["end"]) for s in where.as_py()])
             kept, at_byte = [], 0
             for s, e in spans:
                 kept.append(whole[at_byte:s])
@@ -122,7 +266,7 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", l
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                                         ("removed", pa.int64())]))
 
-    joined = rows.join(repeats.select("doc", "at", "first"), "doc", "left")
+    joined = rows.join(known, ["doc", "hash"], "left")
     touched = joined.withColumn("new", without(F.when(F.col("at").isNotNull(), F.col("text")), "at"))
     changed = F.coalesce(F.size("new.spans"), F.lit(0)) > 0
     return touched.select(F.col("doc").alias(id), F.when(changed, F.col("new.text")).otherwise(F.col("text")).alias(text),

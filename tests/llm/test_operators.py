@@ -137,6 +137,30 @@ def test_shared_passages_go_from_all_but_the_first(spark):
             assert set(got[i].text.split()) <= set(text.split())
 
 
+@pytest.mark.parametrize("letters", [(1, 1), (2, 3), (2, 9)])
+def test_passages_of_51_words_go_whole(spark, letters):
+    rng = random.Random(6)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(*letters))) for _ in range(n))
+    rows, expected = [], {}
+    for k in range(60):
+        passage = make(51)
+        ends = [f"{make(40)} {word}{k}" for word in ("north", "south")]
+        starts = [f"{word}{k} {make(40)}" for word in ("east", "west")]
+        rows += [(2 * k, f"{ends[0]} {passage} {starts[0]}", "en", "a"), (2 * k + 1, f"{ends[1]} {passage} {starts[1]}", "en", "a")]
+        expected |= {2 * k: rows[-2][1].split(), 2 * k + 1: ends[1].split() + starts[1].split()}
+    got = {r.doc_id: r.text.split() for r in chunks.deduplicated(awkward(spark, rows)).collect()}
+    assert got == expected
+
+
+def test_texts_under_one_id_are_cut_by_their_own_spans(spark):
+    rng = random.Random(7)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, long, short = make(60), make(300), make(20)
+    rows = [(1, passage, "en", "a"), (2, f"{long} {passage}", "en", "a"), (2, short, "en", "a")]
+    got = sorted((r.doc_id, r.text.strip()) for r in chunks.deduplicated(awkward(spark, rows)).collect())
+    assert got == sorted([(1, passage), (2, long), (2, short)])
+
+
 def test_chunks_of_awkward_rows(spark):
     rows = awkward(spark)
     got = chunks.deduplicated(rows).collect()
