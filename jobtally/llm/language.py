@@ -91,30 +91,29 @@ class Lattice:
                     if len(other):
                         self.arcs[end].append((1, other, np.full(len(other), pieces.count)))
 
-    def forward(self, chance: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Scaled sums over the segmentations of every prefix, and the log of what they were scaled by."""
-        alpha, scale = [np.ones((n, chance.shape[1]))], np.zeros(n)
+    def forward(self, chance: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled sums over the segmentations of every prefix, and the log of what each was scaled by, by language."""
+        alpha, scale = [np.ones((n, chance.shape[1]))], [np.zeros((n, chance.shape[1]))]
         for end in range(1, self.length + 1):
-            now = np.zeros_like(alpha[0])
+            now, level = np.zeros_like(alpha[0]), scale[-1]
             for size, word, row in self.arcs[end]:
-                now[word] += alpha[end - size][word] * chance[row]
-            alpha.append(now)
+                now[word] += alpha[end - size][word] * chance[row] * _rescaled(scale[end - size], level, word)
             if end % RESCALE == 0 and end < self.length:
-                top = np.maximum(now.max(axis=1), 1e-300)
-                scale += np.log(top)
-                for k in range(max(0, end - RESCALE), end + 1):
-                    alpha[k] = alpha[k] / top[:, None]
+                top = np.maximum(now, 1e-300)
+                now, level = now / top, level + np.log(top)
+            alpha.append(now)
+            scale.append(level)
         return alpha, scale
 
     def expected(self, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece, by language, in words that occur `weight` times (short words only)."""
+        """Expected uses of every piece, by language, in words that occur `weight` times."""
         n = len(weight)
-        alpha, _ = self.forward(chance, n)
+        alpha, scale = self.forward(chance, n)
         beta = [np.zeros_like(alpha[0]) for _ in range(self.length)] + [weight / np.maximum(alpha[-1], 1e-300)]
         out = np.zeros_like(chance)
         for end in range(self.length, 0, -1):
             for size, word, row in self.arcs[end]:
-                flow = chance[row] * beta[end][word]
+                flow = chance[row] * beta[end][word] * _rescaled(scale[end - size], scale[end], word)
                 beta[end - size][word] += flow
                 used = alpha[end - size][word] * flow
                 for k in range(chance.shape[1]):
@@ -122,6 +121,11 @@ class Lattice:
         return out
 
 
+def _rescaled(one: np.ndarray, other: np.ndarray, word: np.ndarray) -> np.ndarray | float:
+    """What a sum at one scale is multiplied by at another; positions between two rescalings share theirs."""
+    return 1.0 if one is other else np.exp(one[word] - other[word])
+
+
 def _words(texts: list[str]) -> tuple[np.ndarray, A.Words, np.ndarray]:
     codes, bounds = A.code_points([t.lower() for t in texts])
     words = A.runs(A.letters()[codes], bounds)
@@ -151,9 +155,8 @@ def _word_counts(batches):
         seen: dict[tuple, int] = {}
         langs = where.to_pylist()
         for s, e, r in zip(words.start.tolist(), words.end.tolist(), words.row.tolist()):
-            if e - s <= RESCALE:
-                key = (langs[r], codes[s:e].tobytes())
-                seen[key] = seen.get(key, 0) + 1
+            key = (langs[r], codes[s:e].tobytes())
+            seen[key] = seen.get(key, 0) + 1
         yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1].decode("utf-32-le") for k in seen], pa.string()),
                                pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -171,7 +174,7 @@ def fit(texts: DataFrame, path: str, most: int = 600, rounds: int = 3, seed: str
     sample = known.join(F.broadcast(chance), "lang").filter(unit("id", seed) < F.col("keep")).select("text", "lang")
     counts = (sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word")
               .agg(F.sum("n").alias("n")).toPandas())
-    names, which = np.unique(counts["word"].to_numpy(str), return_inverse=True)
+    which, names = counts["word"].factorize(sort=True)  # as objects: one long word must not widen all others
     weight = np.zeros((len(names), len(languages)))
     np.add.at(weight, (which, [languages.index(k) for k in counts["lang"]]), counts["n"])
     share = np.array([held[k] for k in languages], float)
@@ -211,7 +214,7 @@ def _word_scores(codes, start, end, hashes, model: Model) -> np.ndarray:
         fresh = np.empty((len(new), len(model.languages)))
         for part, rows in _matrices(codes, start[first[new]], end[first[new]]):
             alpha, scale = Lattice(rows, model.pieces).forward(model.chance, len(part))
-            fresh[part] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[:, None]
+            fresh[part] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
         keys, scores = np.insert(keys, at[new], distinct[new]), np.insert(scores, at[new], fresh, axis=0)
         _KEPT[name] = keys, scores
     return scores[np.searchsorted(keys, distinct)][back]

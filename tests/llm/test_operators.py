@@ -230,6 +230,29 @@ def test_language_sums_all_segmentations():
             assert np.allclose(alpha[-1][k], brute("▁" + names[i]))
 
 
+def test_language_learns_from_long_runs(spark):
+    rng = random.Random(8)
+    make = lambda letters: "".join(rng.choices(letters, k=30))
+    rows = [(i, " ".join(make("abcdefgh" if i % 2 else "stuvwxyz") for _ in range(6)), "aa" if i % 2 else "zz", "a") for i in range(60)]
+    texts = awkward(spark, rows)
+    model = language.fit(texts.filter("doc_id < 40").select(F.col("doc_id").alias("id"), "text", "lang"), VOCABULARY)
+    found = texts.filter("doc_id >= 40").select("lang", language.identify("text", model).alias("f")).collect()
+    assert all(r.f.lang == r.lang and r.f.score > 0.99 for r in found)
+
+
+def test_expected_uses_of_long_words_are_exact():
+    found = language.load_pieces(VOCABULARY)
+    codes, bounds = language.A.code_points(["theretherethereonthereonthere" * 2])
+    chance = np.random.default_rng(2).random((found.count + 1, 2)) / found.count
+    (part, rows), = language._matrices(codes, bounds[:-1], bounds[1:])
+    lattice = language.Lattice(rows, found)
+    uses = lattice.expected(chance, np.ones((1, 2)))
+    size = np.ones(found.count + 1)
+    for n, at in found.rows.items():
+        size[at] = n
+    assert np.allclose(size @ uses, rows.shape[1])
+
+
 def test_language_on_held_out_texts(spark, sf_dir, docs):
     got = queries.op1_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
