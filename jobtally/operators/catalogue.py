@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally import schemas as S
 from jobtally.operators import topk
-from jobtally.operators.joins import spread_lookup
+from jobtally.operators.joins import split_lookup
 
 
 def _size_by_id(files: DataFrame) -> DataFrame:
@@ -46,15 +46,14 @@ def popularity(usage: DataFrame, sizes: DataFrame) -> DataFrame:
 def job_dataset_sizes(jobs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(dataset, size) with one row per job, as many as jobs with a dataset."""
     named = jobs.where(F.col(S.DATASET).isNotNull())
-    return spread_lookup(named, sizes, S.DATASET, "dataset", [S.JOB_ID]).drop("dataset")
+    return split_lookup(named, sizes.withColumnRenamed("dataset", S.DATASET), [S.DATASET])
 
 
 def distinct_dataset_sizes(jobs: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
     """The same with one row per dataset and its number of jobs."""
     counts = jobs.where(F.col(S.DATASET).isNotNull()).groupBy(*keys, S.DATASET).agg(
         F.count(F.lit(1)).alias("jobs"))
-    if keys:  # a dataset then has one row per key value
-        return spread_lookup(counts, sizes, S.DATASET, "dataset", keys).drop("dataset")
+    # A dataset has one row for each value of the keys here, so none can be hot.
     return counts.join(sizes, counts[S.DATASET] == sizes["dataset"], "left").drop("dataset")
 
 
@@ -95,11 +94,12 @@ def with_block_access(jobs: DataFrame) -> DataFrame:
 
     A window over the block would do, but would gather all jobs of a hot block, the
     Monte-Carlo marker say, in one task. So the two times are grouped, with a
-    partial step, and looked up. For one row per block see :func:`active_blocks`.
+    partial step, and looked up; their number of jobs, counted on the way, tells which
+    blocks to split. For one row per block see :func:`active_blocks`.
     """
-    span = jobs.groupBy(F.col(S.BLOCK).alias("__block")).agg(
-        F.min(S.RECORD_TIME).alias(S.FIRST_ACCESS), F.max(S.RECORD_TIME).alias(S.LAST_ACCESS))
-    return spread_lookup(jobs, span, S.BLOCK, "__block", [S.JOB_ID], null_safe=True).drop("__block")
+    span = jobs.groupBy(S.BLOCK).agg(F.min(S.RECORD_TIME).alias(S.FIRST_ACCESS), F.max(S.RECORD_TIME).alias(S.LAST_ACCESS),
+                                     F.count(F.lit(1)).alias("__jobs"))
+    return split_lookup(jobs, span, [S.BLOCK], size="__jobs")
 
 
 def sized_datasets(active: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:

@@ -206,14 +206,48 @@ def test_null_block_is_a_group_of_its_own(spark):
         ("a", 1, None, 1, 5), ("b", 5, None, 1, 5), ("c", 3, "x", 3, 3)]
 
 
-def test_spread_lookup_equals_a_plain_join(spark):
-    left = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
-        F.concat(F.lit("k"), F.col("id") % 10)).alias("key"))
-    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "name STRING, size INT")
+def hot_rows(spark, n=3000):
+    """A third of the rows has one key, a few rows have none, the others have one of 500."""
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    return spark.range(n).select("id", key.alias("key"))
+
+
+def test_split_lookup_equals_a_plain_join(spark):
+    left = hot_rows(spark, 1000)
+    lookup = spark.createDataFrame([("hot", 1, 7), ("k1", 2, 8), ("k2", 3, 9), (None, 4, 1)], "key STRING, size INT, id INT")
     for how in ("left", "inner"):
-        spread = joins.spread_lookup(left, lookup, "key", "name", ["id"], how).select("id", "key", "size")
-        plain = left.join(lookup, left["key"] == lookup["name"], how).select("id", "key", "size")
-        assert sorted(rows(spread), key=str) == sorted(rows(plain), key=str)
+        split = joins.split_lookup(left, lookup, ["key"], how=how, hot_rows=50).select("id", "key", "size")
+        plain = left.alias("l").join(lookup.alias("r"), F.col("l.key").eqNullSafe(F.col("r.key")), how).select("l.id", "l.key", "size")
+        assert sorted(rows(split), key=str) == sorted(rows(plain), key=str)
+        assert joins.split_lookup(left.limit(0), lookup, ["key"], how=how).count() == 0
+        assert joins.split_lookup(left, lookup.limit(0), ["key"], how=how).count() == (1000 if how == "left" else 0)
+
+
+def test_split_lookup_spreads_hot_keys_alone(spark):
+    left = hot_rows(spark)
+    counts = joins.key_counts(left, ["key"])
+    assert rows(joins.hot_keys(counts, ["key"], hot_rows=100)) == [("hot", 10)]
+    # At most most_hot - 1 keys can be hot, however small hot_rows is.
+    assert joins.hot_keys(counts, ["key"], hot_rows=1, most_hot=4).count() < 4
+    lookup = counts.withColumnRenamed("__n", "size")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("false", "-1", "64")):
+            spark.conf.set(k, v)
+        found = joins.split_lookup(left, lookup, ["key"], size="size", hot_rows=20)
+        by_task = [r[1] for r in rows(found.groupBy(F.spark_partition_id()).count())]
+        assert sum(by_task) == 3000 and max(by_task) < 200  # the hot key has 1000 rows, in 50 parts
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_the_lookup_takes_the_size_of_a_key_from_the_lookup(spark):
+    left = hot_rows(spark, 300)
+    lookup = joins.key_counts(left, ["key"]).withColumn("v", F.length("key"))
+    found = joins.split_lookup(left, lookup, ["key"], size="__n", hot_rows=10)
+    assert found.columns == ["id", "key", "v"] and found.count() == 300
+    assert found.where("key <=> 'hot' AND v != 3").count() == 0
 
 
 def test_popularity_counts_null_users_as_none(spark):
