@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtally.llm import chunks, fuzzy, language, mixing, near, neighbours, pieces, preference, quality, toxicity
+from jobtally.llm import (adaptive, chunks, fuzzy, language, lexical, mixing, near, neighbours, pieces, preference, quality, toxicity,
+                          whitening)
 from jobtally.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,22 @@ def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return (preference.formatted(preference.swapped_answers(talks)).withColumnRenamed("id", "conv_id")
             .withColumn("chosen_spans", shown("chosen_spans")).withColumn("rejected_spans", shown("rejected_spans")))
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed rules, then limits that follow each language and source."""
+    return adaptive.judged(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations are whole numbers of 64 bits here; one that needs more would be null."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)

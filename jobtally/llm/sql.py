@@ -75,4 +75,80 @@ SELECT conv_id, CAST(any_value(n) AS INT) AS n_common,
 FROM placed GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op6_preference": PREFERENCE, "op9_mixing": MIXING}
+# Bins hold the leading ten binary digits of a whole number; quartiles are the middle of the bin that reaches them.
+QUALITY_RULES = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+windows AS (
+  SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+often AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT rid, count(DISTINCT i + step) AS n FROM often, (VALUES (0), (1), (2)) AS s(step) GROUP BY rid),
+counts AS (
+  SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+measured AS (
+  SELECT rid, lang, source, base_failed, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
+         unnest([1000000 * word_chars // greatest(n_words, 1), 1000000 * n_symbols // greatest(n_words, 1),
+                 1000000 * n_dup_lines // greatest(n_lines, 1), 1000000 * n_repeat_words // greatest(n_words, 1)]) AS v,
+         unnest([100000, 50000, 150000, 100000]) AS least_spread FROM judged),
+binned AS (
+  SELECT lang, source, measure, least_spread, (v >> greatest(length(bin(v)) - 10, 0)) << greatest(length(bin(v)) - 10, 0) AS bin
+  FROM measured WHERE NOT base_failed),
+grouped AS (
+  SELECT 0 AS level, lang, source, measure, least_spread, bin FROM binned
+  UNION ALL SELECT 1, lang, NULL, measure, least_spread, bin FROM binned UNION ALL SELECT 2, NULL, NULL, measure, least_spread, bin FROM binned),
+summed AS (SELECT level, lang, source, measure, least_spread, bin, count(*) AS n FROM grouped GROUP BY ALL),
+running AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS reached,
+         sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM summed),
+quartiles AS (
+  SELECT level, lang, source, measure, least_spread, max(total) AS n, min(bin) FILTER (4 * reached >= total) AS q1,
+         min(bin) FILTER (4 * reached >= 3 * total) AS q3 FROM running GROUP BY ALL),
+middles AS (
+  SELECT * REPLACE (q1 + ((1::BIGINT << greatest(length(bin(q1)) - 10, 0)) >> 1) AS q1,
+                    q3 + ((1::BIGINT << greatest(length(bin(q3)) - 10, 0)) >> 1) AS q3) FROM quartiles),
+chosen AS (
+  SELECT o.lang, o.source, o.measure, o.least_spread,
+         CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE e.q1 END AS q1,
+         CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE e.q3 END AS q3
+  FROM middles o JOIN middles l ON o.level = 0 AND l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
+  JOIN middles e ON e.level = 2 AND e.measure = o.measure),
+outside AS (
+  SELECT DISTINCT rid FROM measured m JOIN chosen c
+    ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure
+  WHERE v < q1 - 3 * greatest(q3 - q1, c.least_spread) OR v > q3 + 3 * greatest(q3 - q1, c.least_spread))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM outside) AS kept FROM judged
+"""
+
+SEARCH = r"""
+WITH words AS (
+  SELECT d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents)),
+sizes AS (SELECT d, doc_id, count(*) AS n FROM words GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+held AS (SELECT d, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, whole GROUP BY term, docs),
+gains AS (
+  SELECT d, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS gain
+  FROM held JOIN weights USING (term) JOIN sizes USING (d), whole),
+scored AS (SELECT i, item_id, d, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN sizes USING (d) WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op6_preference": PREFERENCE, "op9_mixing": MIXING, "op11_quality_rules": QUALITY_RULES,
+                           "op13_lexical_search": SEARCH}
