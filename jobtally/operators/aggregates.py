@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally import schemas as S
 from jobtally.functions import classify as C, time as T
+from jobtally.operators.exact import exact_sum, sum_of_sums
 
 SUM_WALL, SUM_CORE = "Sum_WallClockHr", "Sum_CoreHr"
 
 
 def hours_by(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Wall and core hours per key, in one pass; NULL keys form a group."""
-    return df.groupBy(*keys).agg(F.sum(S.WALL_HR).alias(SUM_WALL), F.sum(S.CORE_HR).alias(SUM_CORE))
+    """Wall and core hours per key, in one pass; NULL keys form a group. Added exactly, shown as doubles."""
+    return df.groupBy(*keys).agg(exact_sum(S.WALL_HR).cast("double").alias(SUM_WALL), exact_sum(S.CORE_HR).cast("double").alias(SUM_CORE))
 
 
 def efficiency_sums() -> list[Column]:
@@ -38,7 +39,7 @@ def efficiency_by_hour(df: DataFrame, by: str = S.INPUT_DATA) -> DataFrame:
 def exit_code_counts(df: DataFrame, *keys: str) -> DataFrame:
     """Jobs and wall hours per exit code, for rows that have one."""
     return df.groupBy(*keys, S.EXIT_CODE).agg(
-        F.count(S.EXIT_CODE).alias("count_ExitCode"), F.sum(S.WALL_HR).alias("sum_WallClockHr"))
+        F.count(S.EXIT_CODE).alias("count_ExitCode"), exact_sum(S.WALL_HR).cast("double").alias("sum_WallClockHr"))
 
 
 def outcomes_by_flag(df: DataFrame) -> DataFrame:
@@ -75,19 +76,19 @@ def success_rates(df: DataFrame) -> DataFrame:
 
 
 def dataset_cpu_by_day(df: DataFrame) -> DataFrame:
-    """CPU hours per UTC day and dataset; NULL datasets form a group."""
+    """CPU hours per UTC day and dataset, as exact decimals; NULL datasets form a group."""
     return df.groupBy(T.record_date(S.RECORD_TIME).alias(S.RECORD_DATE), S.DATASET).agg(
-        F.sum(S.CPU_HR).alias("Sum_CpuTimeHr"))
+        exact_sum(S.CPU_HR).alias("Sum_CpuTimeHr"))
 
 
 def day_totals(daily: DataFrame) -> DataFrame:
     """CPU hours per day, from the day and dataset sums."""
-    return daily.groupBy(S.RECORD_DATE).agg(F.sum("Sum_CpuTimeHr").alias("day_cpu_hr"))
+    return daily.groupBy(S.RECORD_DATE).agg(sum_of_sums("Sum_CpuTimeHr").alias("day_cpu_hr"))
 
 
 def period_total(daily: DataFrame) -> DataFrame:
     """CPU hours of the whole period, one row."""
-    return daily.agg(F.sum("Sum_CpuTimeHr").alias("period_cpu_hr"))
+    return daily.agg(sum_of_sums("Sum_CpuTimeHr").alias("period_cpu_hr"))
 
 
 def dataset_usage(df: DataFrame, *keys: str, approximate: bool = False) -> DataFrame:
@@ -99,14 +100,14 @@ def dataset_usage(df: DataFrame, *keys: str, approximate: bool = False) -> DataF
     ``approximate`` keeps sketches instead and needs one shuffle only.
     """
     group = [*keys, S.DATASET]
-    cpu = F.sum(S.CPU_HR).alias("sum_CpuTimeHr")
+    cpu = exact_sum(S.CPU_HR).alias("sum_CpuTimeHr")
     if approximate:
         return df.groupBy(*group).agg(
             cpu, F.approx_count_distinct(S.USER_NAME).alias("distinct_CRAB_UserHN"),
             F.approx_count_distinct(S.WORKFLOW).alias("distinct_Workflow"))
     small = df.groupBy(*group, S.USER_NAME, S.WORKFLOW).agg(cpu)
     return small.groupBy(*group).agg(
-        F.sum("sum_CpuTimeHr").alias("sum_CpuTimeHr"),
+        sum_of_sums("sum_CpuTimeHr").alias("sum_CpuTimeHr"),
         F.count_distinct(S.USER_NAME).alias("distinct_CRAB_UserHN"),
         F.count_distinct(S.WORKFLOW).alias("distinct_Workflow"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally import schemas as S
 from jobtally.operators import topk
+from jobtally.operators.exact import sum_of_sums
 from jobtally.operators.joins import split_lookup
 
 
@@ -43,10 +44,10 @@ def popularity(usage: DataFrame, sizes: DataFrame) -> DataFrame:
     return named.join(sizes, named[S.DATASET] == sizes["dataset"], "left").drop("dataset")
 
 
-def job_dataset_sizes(jobs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(dataset, size) with one row per job, as many as jobs with a dataset."""
+def job_dataset_sizes(jobs: DataFrame, sizes: DataFrame, **split) -> DataFrame:
+    """(dataset, size) with one row per job, as many as jobs with a dataset. ``split`` goes to :func:`split_lookup`."""
     named = jobs.where(F.col(S.DATASET).isNotNull())
-    return split_lookup(named, sizes.withColumnRenamed("dataset", S.DATASET), [S.DATASET])
+    return split_lookup(named, sizes.withColumnRenamed("dataset", S.DATASET), [S.DATASET], **split)
 
 
 def distinct_dataset_sizes(jobs: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
@@ -138,9 +139,9 @@ def last_accessed_before(table: DataFrame, cutoff_ms: int) -> DataFrame:
 
 def top_share(daily: DataFrame, k: int) -> DataFrame:
     """One row: CPU hours of the k most used datasets and their percent of all."""
-    per_dataset = daily.groupBy(S.DATASET).agg(F.sum("Sum_CpuTimeHr").alias("cpu_hr"))
-    total = per_dataset.agg(F.sum("cpu_hr").alias("total")).scalar()
+    per_dataset = daily.groupBy(S.DATASET).agg(sum_of_sums("Sum_CpuTimeHr").alias("cpu_hr"))
+    total = per_dataset.agg(sum_of_sums("cpu_hr").alias("total")).scalar()
     top = topk.top_rows(per_dataset, "cpu_hr", k, [S.DATASET])
-    return top.agg(F.sum("cpu_hr").alias("top_cpu_hr")).select(
+    return top.agg(sum_of_sums("cpu_hr").alias("top_cpu_hr")).select(
         "top_cpu_hr", total.alias("all_cpu_hr"),
         F.try_divide(F.col("top_cpu_hr") * 100.0, total).alias("top_pct"))

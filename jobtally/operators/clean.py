@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from jobtally import schemas as S
+from jobtally import contract, schemas as S
 from jobtally.functions import time as T
 from jobtally.sources.windows import TimeWindow
 
@@ -73,8 +73,11 @@ def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: boo
     keeps one record per job and UTC day and adds ``record_date``, which is what
     a run per day would give; a job seen on two days is then in both.
     ``already_clean`` is for extracts that hold each job once: they are filtered
-    only, which saves the one shuffle that grows with the records.
+    only, which saves the one shuffle that grows with the records. A table whose
+    contract says otherwise is refused.
     """
+    if already_clean:
+        contract.check_clean(df, per_day, conditions.get("statuses"))
     kept = df.where(job_filter(**conditions))
     if keep is not None:
         kept = kept.select(*dict.fromkeys([S.JOB_ID, S.RECORD_TIME, *keep]))

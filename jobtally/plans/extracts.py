@@ -11,28 +11,39 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from jobtally import schemas as S, sinks
+from jobtally import contract, schemas as S, sinks
+from jobtally.contract import ONE_PER_JOB, ONE_PER_JOB_AND_DAY, Contract
 from jobtally.functions import time as T
 from jobtally.operators import catalogue, clean, topk
-from jobtally.session import shared_folder
+from jobtally.session import shared_base, shared_folder
 
 
-def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, once: bool = False, **conditions) -> DataFrame:
-    """The fourteen columns of finished jobs and their UTC day.
+def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, once: bool = False, columns=S.EXTRACT_COLUMNS,
+                  **conditions) -> DataFrame:
+    """Columns of finished jobs and their UTC day: fourteen by default, with ``columns=None`` all that ``jobs`` has.
 
     One record per job and day, as a run per day gives; with ``once`` one per job
-    in all, so that analyses of the extract can pass ``already_clean=True``.
+    in all, so that analyses of the extract can pass ``already_clean=True``. The
+    extract carries a contract that says which of the two it is; a wide one
+    answers every analysis of the library.
     """
-    if not once:
-        return clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, per_day=True, statuses=statuses, **conditions)
-    cleaned = clean.clean_jobs(jobs, S.EXTRACT_COLUMNS, statuses=statuses, **conditions)
-    return cleaned.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
+    columns = jobs.columns if columns is None else columns
+    cleaned = clean.clean_jobs(jobs, columns, per_day=not once, statuses=statuses, **conditions)
+    if once:
+        cleaned = cleaned.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
+    held = None if statuses is None else tuple(statuses)
+    return Contract(ONE_PER_JOB if once else ONE_PER_JOB_AND_DAY, held).of(cleaned)
 
 
 def _check_replaced(window, replace: bool, period: str = "day") -> None:
-    """Refuse to replace partitions that the window holds only in part: the rest would be lost."""
-    if not replace or window is None:
+    """Refuse to replace partitions that the window holds only in part: the rest would be lost.
+
+    The window has to be given to the writer: records cut before could hold part of a day without anything to show it.
+    """
+    if not replace:
         return
+    if window is None:
+        raise ValueError("replace needs the window whose partitions are renewed")
     bounds = (datetime.fromtimestamp(ms / 1000, timezone.utc) for ms in (window.start_ms, window.end_ms))
     starts = {"day": lambda d: True, "week": lambda d: d.weekday() == 0, "month": lambda d: d.day == 1,
               "quarter": lambda d: d.day == 1 and d.month % 3 == 1, "year": lambda d: (d.month, d.day) == (1, 1)}
@@ -55,20 +66,25 @@ ACCESS_COLUMNS = (S.TIER, S.DATASET, S.BLOCK, S.TASK)
 
 
 def dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, *, per_day: bool = False,
-                   tool: str | None = S.ANALYSIS_TOOL, window=None, access_path: str | None = None) -> DataFrame:
+                   tool: str | None = S.ANALYSIS_TOOL, window=None, access_path: str | None = None,
+                   already_clean: bool = False) -> DataFrame:
     """Accessed datasets and blocks with sizes, first and last access.
 
-    The dataset and the block table both come from the accesses. With an
-    ``access_path`` these are written there once and read back for the two;
-    without one the result stays lazy and they share the shuffled records.
+    The dataset and the block table both come from the accesses, which are few
+    against the records. They are written once, to ``access_path`` or a new folder
+    below the shared one, and read back for the two: the records are cleaned and
+    grouped in one pass. The folder stays until it is deleted
+    (:func:`jobtally.sinks.remove_inputs`); in a session without a shared folder
+    the result stays lazy and both tables share the shuffled records.
     """
     cleaned = clean.clean_jobs(jobs, ACCESS_COLUMNS, per_day=per_day, tool=tool, known_tier=True, with_block=True,
-                               window=window)
+                               window=window, already_clean=already_clean)
     keys = [S.RECORD_DATE] if per_day else []
     access = catalogue.accesses(cleaned, *keys)
+    if access_path is None and shared_base(jobs.sparkSession):
+        access_path = shared_folder(jobs.sparkSession, "accesses")
     if access_path is not None:
-        sinks.write_parquet(access, access_path)
-        access = jobs.sparkSession.read.parquet(access_path)
+        access = sinks.written(access, access_path)
     return catalogue.dataset_block_table(access, dataset_size, block_size, *keys)
 
 
@@ -80,27 +96,26 @@ def largest_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size:
 
 def write_daily_dataset_blocks(jobs: DataFrame, dataset_size: DataFrame, block_size: DataFrame, path: str,
                                replace: bool = False, **options) -> None:
-    """One table per UTC day, all days in one job; the size tables are made once.
-
-    The accesses go to the shared folder unless an ``access_path`` is given.
-    """
+    """One table per UTC day, all days in one job; the size tables are made once."""
     _check_replaced(options.get("window"), replace)
-    options.setdefault("access_path", shared_folder(jobs.sparkSession, "accesses"))
     table = dataset_blocks(jobs, dataset_size, block_size, per_day=True, **options)
     sinks.write_by(table, path, replace=replace)
 
 
 def period_dataset_sizes(jobs: DataFrame, sizes: DataFrame, period: str = "month", tool: str | None = S.ANALYSIS_TOOL,
-                         distinct_datasets: bool = False, window=None) -> DataFrame:
+                         distinct_datasets: bool = False, window=None, already_clean: bool = False) -> DataFrame:
     """Sizes of the datasets used in each period ("day", "week", "month", ...).
 
     A job counts once per period. By default there is a row for every job; with
-    ``distinct_datasets`` one per dataset and its number of jobs.
+    ``distinct_datasets`` one per dataset and its number of jobs. An extract with
+    one record per job (``already_clean``) has each job in its last period only.
     """
+    if already_clean:
+        contract.check_clean(jobs, per_day=False)
     kept = jobs.where(clean.job_filter(tool=tool, window=window)).select(S.JOB_ID, S.RECORD_TIME, S.DATASET)
     day = T.record_date(S.RECORD_TIME)
     dated = kept.withColumn("period", day if period == "day" else F.trunc(day, period))
-    once = clean.latest_per_key(dated, ["period", S.JOB_ID])
+    once = dated if already_clean else clean.latest_per_key(dated, ["period", S.JOB_ID])
     if distinct_datasets:
         return catalogue.distinct_dataset_sizes(once, sizes, "period")
     return catalogue.job_dataset_sizes(once, sizes).select("period", S.DATASET, "sum_file_size")

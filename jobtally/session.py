@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,15 +16,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing folder name below the cluster's shared folder.
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="jobtally-")
+
+
+def shared_base(spark: SparkSession) -> str | None:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    The shared folder is ``spark.checkpoint.dir``. Only a local session may go
-    without it: there a temporary folder of this machine is good enough.
+    Where it is unset a local session, whose driver and executors are one process, gets a
+    folder of its own; on a cluster there is none.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="jobtally-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    return _own_folder() if spark.sparkContext.master.split("[")[0] == "local" else None
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new, not yet existing folder name below the shared folder."""
+    base = shared_base(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir, when the session is built, to a folder that all executors share")
+    return f"{base}/{label}-{uuid.uuid4().hex}"

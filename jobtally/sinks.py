@@ -18,6 +18,27 @@ def write_parquet(df: DataFrame, path: str, compression: str | None = None,
     writer.parquet(path)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written once and read back: what stands above is computed one time, and a lost executor costs no more
+    than its own tasks. The table lives until :func:`remove_inputs` or whoever owns the folder deletes it."""
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_inputs(df: DataFrame, below: str) -> list[str]:
+    """Delete the folders below ``below`` that ``df`` reads, once nothing needs it any more. Gives the deleted folders."""
+    spark = df.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = paths(below)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = fs.makeQualified(top).toString().rstrip("/") + "/"
+    mine = {"/".join(f.split("/")[: own.count("/") + 1]) for f in (fs.makeQualified(paths(x)).toString() for x in df.inputFiles())
+            if f.startswith(own)}
+    for folder in sorted(mine):
+        fs.delete(paths(folder), True)
+    return sorted(mine)
+
+
 def write_by(df: DataFrame, path: str, keys: Sequence[str] = (S.RECORD_DATE,),
              compression: str | None = None, replace: bool = False) -> None:
     """Write one partition per key value, all of them in one job.

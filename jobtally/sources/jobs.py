@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from jobtally import schemas as S
 from jobtally.sources.windows import SLACK_DAYS, TimeWindow
@@ -28,31 +30,52 @@ def candidate_glob(base: str, folders: Iterable[str]) -> str:
     return f"{base.rstrip('/')}/{{{','.join(folders)}}}"
 
 
-def scan_json(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None, *,
-              slack: int = SLACK_DAYS, include_tmp: bool = False,
-              day_folder: str = DAY_FOLDER) -> DataFrame:
-    """Nested records (one ``data`` struct) of the folders around the window.
+def check_base(spark: SparkSession, base: str) -> None:
+    """Raise if the base folder does not exist. One look at the folder itself, nothing is listed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {base}")
 
-    Only the named columns are parsed. Lines that are not JSON come back as rows
-    of NULLs. A window with no folder at all gives an empty result; a base folder
-    that does not exist is an error.
+
+def read_folders(spark: SparkSession, base: str, folders: Iterable[str], columns: Iterable[str] | None = None,
+                 malformed: str | None = None) -> DataFrame:
+    """Nested records (one ``data`` struct) of the named folders; those that do not exist are skipped.
+
+    With ``malformed`` lines that don't fit the schema keep their text in a column of that name.
     """
     schema = S.job_schema(columns)
-    folders = candidate_folders(window, slack, include_tmp, day_folder)
+    wanted = ["data"]
+    if malformed:
+        schema, wanted = schema.add(malformed, "string"), ["data", malformed]
+    folders = list(folders)
     if not folders:
+        check_base(spark, base)
         return spark.createDataFrame([], schema)
-    path = candidate_glob(base, folders)
+    reader = spark.read.option("basePath", base).schema(schema)
+    if malformed:
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
     try:
         # The records alone: a folder named like key=value must not add columns.
-        return spark.read.option("basePath", base).schema(schema).json(path).select("data")
+        return reader.json(candidate_glob(base, folders)).select(*wanted)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        # Listed by name only, no file is opened; a missing base raises here.
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+        check_base(spark, base)
         return spark.createDataFrame([], schema)
 
 
+def scan_json(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None, *,
+              slack: int = SLACK_DAYS, include_tmp: bool = False,
+              day_folder: str = DAY_FOLDER, malformed: str | None = None) -> DataFrame:
+    """Nested records (one ``data`` struct) of the folders around the window.
+
+    Only the named columns are parsed. Lines that are not JSON come back as rows
+    of NULLs. A window with no folder at all gives an empty result; a base folder
+    that does not exist is an error.
+    """
+    return read_folders(spark, base, candidate_folders(window, slack, include_tmp, day_folder), columns, malformed)
+
+
 def read_jobs(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None,
               **scan) -> DataFrame:
     """Flat records of the window: folders with slack are read, rows filtered exactly."""
@@ -60,6 +83,40 @@ def read_jobs(spark: SparkSession, base: str, window: TimeWindow, columns: Itera
     return flatten(scan_json(spark, base, window, wanted, **scan)).where(window.contains())
 
 
+MALFORMED = "malformed"
+
+
+class Reading(NamedTuple):
+    """Records of a window, the lines that are no records, and counts that an action on ``records`` fills.
+
+    ``counts.get`` has ``read``, ``kept``, ``outside`` and ``malformed`` once a query has read all of ``records``;
+    read is the sum of the other three.
+    """
+
+    records: DataFrame
+    quarantine: DataFrame
+    counts: Observation
+
+
+def read_jobs_counted(spark: SparkSession, base: str, window: TimeWindow, columns: Iterable[str] | None = None,
+                      **scan) -> Reading:
+    """Like :func:`read_jobs`, but no line goes unnoticed.
+
+    A line is malformed if it is not JSON, if a field has another type, or if it has no record time: without one nobody
+    can tell the window it belongs to. Its text is in ``quarantine``. The counts come from the same pass over the files that
+    reads the records.
+    """
+    wanted = None if columns is None else list(dict.fromkeys([S.RECORD_TIME, S.JOB_ID, *columns]))
+    lines = scan_json(spark, base, window, wanted, malformed=MALFORMED, **scan)
+    bad = F.col(MALFORMED).isNotNull() | F.col(f"data.{S.RECORD_TIME}").isNull()
+    kept = ~bad & F.coalesce(window.contains(f"data.{S.RECORD_TIME}"), F.lit(False))
+    counts = Observation(f"jobs read {uuid.uuid4().hex}")
+    seen = lines.observe(counts, F.count(F.lit(1)).alias("read"), F.count_if(kept).alias("kept"),
+                         F.count_if(~bad & ~kept).alias("outside"), F.count_if(bad).alias("malformed"))
+    text = F.coalesce(F.col(MALFORMED), F.to_json(F.struct("data")))
+    return Reading(flatten(seen.where(kept)), lines.where(bad).select(text.alias("line")), counts)
+
+
 def flatten(nested: DataFrame) -> DataFrame:
     """The fields under ``data`` as top-level columns."""
     return nested.select("data.*")

@@ -333,9 +333,9 @@ def test_written_accesses_give_the_same_table(spark, sf_dir):
     from verification import popularity as P
 
     args = P.access_jobs(spark, sf_dir), P.sizes_by_dataset(spark, sf_dir), P.sizes_by_block(spark, sf_dir)
-    lazy = extracts.dataset_blocks(*args)
+    own = extracts.dataset_blocks(*args)
     written = extracts.dataset_blocks(*args, access_path=shared_folder(spark, "accesses"))
-    assert sorted(rows(lazy), key=str) == sorted(rows(written), key=str) != []
+    assert sorted(rows(own), key=str) == sorted(rows(written), key=str) != []
 
 
 def test_top_lists_against_brute_force(spark):
@@ -345,6 +345,6 @@ def test_top_lists_against_brute_force(spark):
     got = rows(popularity.top_lists(spark.createDataFrame(data, schema), k=20).drop("short_name"))
     expected = []
     for i, metric in enumerate(popularity.METRICS, 1):
-        ranked = sorted(data, key=lambda r: (r[i] is None, -round(r[i] or 0, 6), r[0]))[:20]
-        expected += [(metric, n, r[0], None if r[i] is None else float(r[i])) for n, r in enumerate(ranked, 1)]
-    assert sorted(got) == sorted(expected)
+        ranked = sorted(data, key=lambda r: (r[i] is None, -(r[i] or 0), r[0]))[:20]
+        expected += [(metric, n, r[0], None if r[i] is None else float(round(r[i], 9))) for n, r in enumerate(ranked, 1)]
+    assert sorted((m, n, d, None if v is None else float(v)) for m, n, d, v in got) == sorted(expected)

@@ -41,10 +41,11 @@ def test_block_access_needs_no_window(spark):
     assert "Window" not in plan and "partial_min" in plan
 
 
-def test_dataset_and_block_tables_share_the_clean_records(spark, sf_dir):
-    plan = executed_plan(QUERIES["dataset_block_table"](spark, sf_dir))
-    final = plan.split("== Initial Plan ==")[0]
-    assert re.search(r"ReusedExchange \[[^\]]*GlobalJobId", final)
+def test_dataset_and_block_tables_are_made_of_written_accesses(spark, sf_dir):
+    """The records are cleaned and grouped once, when the accesses are written: neither is part of the result's plan."""
+    for name in ("dataset_block_table", "dataset_block_table_by_day"):
+        plan = executed_plan(QUERIES[name](spark, sf_dir))
+        assert "row_number" not in plan and "GlobalJobId" not in plan and "accesses-" in plan
 
 
 def test_exit_code_table_is_broadcast(spark, sf_dir):
@@ -93,7 +94,7 @@ def test_hot_dataset_is_spread_over_tasks(spark):
             F.concat(F.lit("j"), "id").alias(S.JOB_ID),
             F.when(F.col("id") % 3 == 0, F.lit("/hot")).otherwise(F.concat(F.lit("/d"), F.col("id"))).alias(S.DATASET))
         sizes = spark.createDataFrame([("/hot", 1)], "dataset STRING, sum_file_size BIGINT")
-        joined = catalogue.job_dataset_sizes(jobs, sizes).where("sum_file_size = 1").withColumn(
+        joined = catalogue.job_dataset_sizes(jobs, sizes, hot_rows=100).where("sum_file_size = 1").withColumn(
             "task", F.spark_partition_id())
         per_task = [r["count"] for r in joined.groupBy("task").count().collect()]
         assert sum(per_task) == 3000 and max(per_task) < 1000 and len(per_task) >= 8

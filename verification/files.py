@@ -5,7 +5,7 @@ Folders are new for every run and lie below the cluster's shared folder.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -46,12 +46,15 @@ def jobs_from_json_day_folders(spark, sf_dir):
     return clean.clean_jobs(records, EFFICIENCY, statuses=S.FINAL_STATUSES)
 
 
-@query("SRC4 Q4", final(EFFICIENCY, B.EVENTS_CTE, IN_WINDOW) +
+@query("SRC4 Q4", final(EFFICIENCY, B.EVENTS_CTE) +
        f" SELECT lpad(CAST({HOUR} AS STRING), 2, '0') AS hour, InputData, {EFFICIENCY_SUMS}, {EFFICIENCY_RATIOS} "
        "FROM clean GROUP BY 1, 2", "sum_cpu_hr sum_wall_by_cpus sum_core_hr cpu_eff_wall cpu_eff_core")
 def efficiency_by_hour_from_json(spark, sf_dir):
-    records = source.read_jobs(spark, _json_folders(spark, sf_dir), WINDOW, [S.STATUS, *EFFICIENCY],
-                               day_folder=DAY_FOLDER)
+    """All days of the records, whatever they are."""
+    first, last = B.events_as_jobs(spark, sf_dir).agg(*(f(T.record_date(S.RECORD_TIME)) for f in (F.min, F.max))).first()
+    at = lambda day: datetime(day.year, day.month, day.day)
+    whole = TimeWindow(at(first), at(last) + timedelta(days=1))
+    records = source.read_jobs(spark, _json_folders(spark, sf_dir), whole, [S.STATUS, *EFFICIENCY], day_folder=DAY_FOLDER)
     return usage.hourly_efficiency(records)
 
 

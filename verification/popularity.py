@@ -14,12 +14,12 @@ from verification.registry import query
 # --- daily CPU hours -----------------------------------------------------------
 CPU = ["DESIRED_CMSDataset", "CpuTimeHr"]
 DAILY = (f"WITH {JOBS_CTE}, {clean_cte(CPU)}, daily AS (SELECT {DAY} AS record_date, DESIRED_CMSDataset, "
-         "sum(CpuTimeHr) AS Sum_CpuTimeHr FROM clean GROUP BY 1, 2)")
+         "sum(CAST(CpuTimeHr AS DECIMAL(28, 9))) AS Sum_CpuTimeHr FROM clean GROUP BY 1, 2)")
 
 
 def ranked(k):
     return (f"top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_date ORDER BY "
-            f"round(Sum_CpuTimeHr, 6) DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST) AS INT) AS rank FROM daily) "
+            f"Sum_CpuTimeHr DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST) AS INT) AS rank FROM daily) "
             f"WHERE rank <= {k})")
 
 
@@ -93,12 +93,10 @@ def nodes(spark, sf_dir):
 
 
 @query("Q12 HIER1 LBL4 LBL5 LBL6", NODES + " SELECT level, CAST(record_date AS STRING) AS record_date, rank, label, "
-       "parent, value, coalesce(name, 'Null') || ' - CPU Time: ' || printf('%.3f', round(value, 6)) AS hover "
+       "parent, value, coalesce(name, 'Null') || ' - CPU Time: ' || printf('%.3f', CAST(value AS DOUBLE)) AS hover "
        "FROM nodes", "value")
 def usage_hierarchy(spark, sf_dir):
-    """Ten-digit sums can differ in the last place, so texts are made of rounded values."""
-    return nodes(spark, sf_dir).withColumn("hover", F.concat(
-        F.substring_index("hover", " - CPU Time: ", 1), F.lit(" - CPU Time: "), L.fixed3(F.round("value", 6))))
+    return nodes(spark, sf_dir)
 
 
 @query("HIER2", NODES + ", t AS (SELECT sum(value) FILTER (level = 0) AS period, sum(value) FILTER (level = 1) AS days, "
@@ -112,7 +110,7 @@ def usage_hierarchy_balance(spark, sf_dir):
 
 @query("asked-for: CPU share of the top datasets; AGG12 TOP1 SHR1", DAILY +
        ", d AS (SELECT DESIRED_CMSDataset, sum(Sum_CpuTimeHr) AS cpu FROM daily GROUP BY 1), t AS (SELECT cpu FROM d "
-       "ORDER BY round(cpu, 6) DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST LIMIT 10) "
+       "ORDER BY cpu DESC NULLS LAST, DESIRED_CMSDataset ASC NULLS FIRST LIMIT 10) "
        "SELECT (SELECT sum(cpu) FROM t) AS top_cpu_hr, (SELECT sum(cpu) FROM d) AS all_cpu_hr, "
        "100 * (SELECT sum(cpu) FROM t) / (SELECT sum(cpu) FROM d) AS top_pct", "top_cpu_hr all_cpu_hr top_pct")
 def cpu_share_of_top10_datasets(spark, sf_dir):
@@ -123,7 +121,7 @@ def cpu_share_of_top10_datasets(spark, sf_dir):
 USED = [*CPU, "CRAB_UserHN", "Workflow"]
 USAGE = (f"WITH {JOBS_CTE}, {CATALOGUE_CTES}, {clean_cte(USED)}, usage AS (SELECT DESIRED_CMSDataset, "
          "count(DISTINCT CRAB_UserHN) AS distinct_CRAB_UserHN, count(DISTINCT Workflow) AS distinct_Workflow, "
-         "sum(CpuTimeHr) AS sum_CpuTimeHr FROM clean GROUP BY 1), popular AS (SELECT DESIRED_CMSDataset, "
+         "sum(CAST(CpuTimeHr AS DECIMAL(28, 9))) AS sum_CpuTimeHr FROM clean GROUP BY 1), popular AS (SELECT DESIRED_CMSDataset, "
          "distinct_CRAB_UserHN, distinct_Workflow, sum_file_size, sum_CpuTimeHr FROM usage LEFT JOIN file_size "
          "ON DESIRED_CMSDataset = dataset WHERE DESIRED_CMSDataset IS NOT NULL)")
 
@@ -169,12 +167,12 @@ def dataset_popularity(spark, sf_dir):
 
 
 def top_lists(k, where="TRUE"):
-    return (USAGE + ", long AS (UNPIVOT (SELECT DESIRED_CMSDataset, CAST(distinct_CRAB_UserHN AS DOUBLE) AS "
-            "distinct_CRAB_UserHN, CAST(distinct_Workflow AS DOUBLE) AS distinct_Workflow, CAST(sum_file_size AS DOUBLE) "
+    return (USAGE + ", long AS (UNPIVOT (SELECT DESIRED_CMSDataset, CAST(distinct_CRAB_UserHN AS DECIMAL(38, 9)) AS "
+            "distinct_CRAB_UserHN, CAST(distinct_Workflow AS DECIMAL(38, 9)) AS distinct_Workflow, CAST(sum_file_size AS DECIMAL(38, 9)) "
             f"AS sum_file_size, sum_CpuTimeHr FROM popular WHERE {where}) ON distinct_CRAB_UserHN, distinct_Workflow, "
             "sum_file_size, sum_CpuTimeHr INTO NAME metric VALUE value) "
             "SELECT metric, CAST(r AS INT) AS rank, DESIRED_CMSDataset, value, DESIRED_CMSDataset AS short_name FROM ("
-            "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 6) DESC NULLS LAST, DESIRED_CMSDataset) AS r "
+            "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, DESIRED_CMSDataset) AS r "
             f"FROM long) WHERE r <= {k}")
 
 
@@ -188,7 +186,7 @@ def top20_datasets_by_metric_without_probes(spark, sf_dir):
     return popularity.top_lists(popular(spark, sf_dir), with_probes=False)
 
 
-@query("TOP2", USAGE + " SELECT * FROM popular ORDER BY round(sum_CpuTimeHr, 6) DESC NULLS LAST, DESIRED_CMSDataset LIMIT 20",
+@query("TOP2", USAGE + " SELECT * FROM popular ORDER BY sum_CpuTimeHr DESC NULLS LAST, DESIRED_CMSDataset LIMIT 20",
        "sum_CpuTimeHr")
 def top20_datasets_by_cpu(spark, sf_dir):
     return topk.top_rows(popular(spark, sf_dir), "sum_CpuTimeHr", 20, [S.DATASET])
@@ -238,9 +236,9 @@ EARLIEST = ("First_Access, Last_Access, CMSPrimaryDataTier, DESIRED_CMSDataset N
             "CRAB_Workflow NULLS FIRST")
 
 
-def access_ctes(key="", where=ACTIVE, source=JOBS_CTE):
-    """Accesses, active datasets and blocks; ``key`` is "" or "record_date, "."""
-    cleaned = (clean_cte(ACCESS, where, "record_date, GlobalJobId", extra=f"{DAY} AS record_date") if key
+def access_ctes(key="", where=ACTIVE, source=JOBS_CTE, cleaned=None):
+    """Accesses, active datasets and blocks; ``key`` is "" or "record_date, "; ``cleaned`` may define the table clean."""
+    cleaned = cleaned or (clean_cte(ACCESS, where, "record_date, GlobalJobId", extra=f"{DAY} AS record_date") if key
                else clean_cte(ACCESS, where))
     return (f"WITH {source}, {CATALOGUE_CTES}, {cleaned}, access AS (SELECT {key}{', '.join(ACCESS)}, "
             "min(RecordTime) AS First_Access, max(RecordTime) AS Last_Access FROM clean GROUP BY ALL), "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, DoubleType
+from pyspark.sql.types import DateType, DecimalType, DoubleType
 
 from jobtally.session import use_utc
 
@@ -32,7 +32,7 @@ def query(covers: str, sql: str | None = None, rounded: str = ""):
 
         QUERIES[name], COVERS[name] = run, covers
         if sql is not None:
-            replaced = ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in rounded.split())
+            replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in rounded.split())
             ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if replaced else sql
         return run
 
@@ -41,8 +41,8 @@ def query(covers: str, sql: str | None = None, rounded: str = ""):
 
 def _comparable(df: DataFrame) -> DataFrame:
     def shown(field):
-        if isinstance(field.dataType, DoubleType):
-            return F.round(field.name, DIGITS)
+        if isinstance(field.dataType, DoubleType) or isinstance(field.dataType, DecimalType) and field.dataType.scale:
+            return F.round(F.col(field.name).cast("double"), DIGITS)
         return F.col(field.name).cast("string") if isinstance(field.dataType, DateType) else F.col(field.name)
 
     return df.select(*(shown(f).alias(f.name) for f in df.schema.fields))
