@@ -4,10 +4,13 @@ A gear hash rolls over the UTF-8 bytes of a text: every step shifts it left by a
 so with 16 bits it depends on the last 16 bytes alone. A text is cut where the hash is the largest within `RADIUS`
 bytes on either side: cuts move with the content, and an insertion shifts no others. Chunks are counted by digest. A
 chunk is a repeat if an earlier document (smaller id) holds it. Repeats are anchors: each is laid on the text of the
-first document that holds it and extended to both sides as far as the texts are equal. What has at least `words` whole
-words is taken out of the later document, and so is a run of adjacent repeats of at least `least` bytes, cut back to
-whole words. A stretch of `words` words in which no chunk is certain to be cut alike everywhere is an anchor itself, so
-every passage of that many words has one.
+first document that holds it and extended to both sides as far as the texts are equal, byte for byte. What has at least
+`words` whole words is taken out of the later document. A stretch of `words` words in which no chunk is certain to be cut
+alike everywhere is an anchor itself, so every passage of that many words has one.
+
+Texts move as little as they can: marks of the shared digests let only repeated chunks through to the join with their
+first holders, and only texts that may change, or are held against one that may, are written once and moved. All others
+go from the input to the result. Marks have a fixed size and only spare work, see `work.Marks`.
 
 Cases: null and empty texts stay as they are; repeats within one document stay; rows without an id stay whole and make
 no other row a repeat; rows that repeat an id count as one document, each with spans of its own text; a long text
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import arrays as A
-from jobtally.llm.work import slices, written
+from jobtally.llm.work import Marks, marked, slices, written
 
 RADIUS = 16
 WINDOW = 16
@@ -83,11 +86,14 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarr
     return start, end, A.Hashes(data).of(start, end).view(np.int64)
 
 
-def _chunk_rows(words: int):
+def _chunk_rows(words: int, holds=None):
     def rows(batches):
         for part in slices(batches, "text"):
             data, bounds = A.utf8(part.column("text"))
             start, end, digest = _anchors(data, bounds, words)
+            if holds:
+                may = holds(digest)
+                start, end, digest = start[may], end[may], digest[may]
             row = np.searchsorted(bounds, start, side="right") - 1
             doc, hashed = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "hash"))
             yield pa.record_batch([pa.array(doc), pa.array(hashed), pa.array((start - bounds[row]).astype(np.int32)),
@@ -165,26 +171,6 @@ def _extended(text: bytes, earlier: bytes, starts: np.ndarray, sizes: np.ndarray
     return sorted(spans)
 
 
-def _cut_spans(data: bytes, starts: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of adjacent chunks that are long enough, moved inwards to whole words."""
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], (starts + sizes)[order]
-    new = np.r_[True, starts[1:] > np.maximum.accumulate(ends)[:-1]]
-    first = np.flatnonzero(new)
-    spans = []
-    for s, e in zip(starts[first], np.maximum.reduceat(ends, first)):
-        if e - s < least:
-            continue
-        white = bytes(A.WHITE)
-        while 0 < s < e and data[s - 1] not in white:
-            s += 1
-        while e < len(data) and e > s and data[e] not in white:
-            e -= 1
-        if e > s:
-            spans.append((int(s), int(e)))
-    return spans
-
-
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     joined = []
     for s, e in sorted(spans):
@@ -195,33 +181,37 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return joined
 
 
-def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", least: int = 96,
-                 carry: list[str] = (), words: int = 50) -> DataFrame:
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] = (), words: int = 50) -> DataFrame:
     """(id, text, spans, removed, first), then the `carry` columns: the texts without repeats, the byte spans taken out of the original, the code
-    points taken out, and the smallest id of a document that held a chunk of them before."""
+    points taken out, and the smallest id of a document that held a part of them before."""
+    spark = documents.sparkSession
     rows = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"),
                             F.struct(F.lit(0), *carry).alias("carried"))
     texts = rows.filter("doc IS NOT NULL AND text IS NOT NULL").select("doc", "hash", "text")
-    chunks = texts.mapInArrow(_chunk_rows(words), "doc long, hash long, start int, size int, digest long")
-    firsts = (chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    kind = "doc long, hash long, start int, size int, digest long"
+    firsts = (texts.mapInArrow(_chunk_rows(words), kind).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .filter("first < last").select("digest", "first"))
+    firsts = written(firsts, "shared-chunks")
+    shared = Marks.of(firsts.select("digest")).sent(spark)
+    chunks = texts.mapInArrow(_chunk_rows(words, shared), kind)
     repeats = (chunks.join(firsts, "digest").filter("doc > first").groupBy("doc", "hash")
-               .agg(F.collect_set(F.struct("start", "size", "digest", "first")).alias("at"), F.min("first").alias("first")))
-    span, anchor = (pa.struct([(c, kind) for c, kind in of]) for of in (
-        [("start", pa.int32()), ("end", pa.int32())],
-        [("start", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("first", pa.int64())]))
+               .agg(F.collect_set(F.struct("start", "size", "digest", "first")).alias("at")))
+    repeats = written(repeats, "repeats")
+    anchor = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("first", pa.int64())])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    @F.arrow_udf("spans array<struct<start:int,end:int>>, anchors array<struct<start:int,size:int,digest:long,first:long>>")
+    @F.arrow_udf("array<struct<start:int,size:int,digest:long,first:long>>")
     def sifted(texts: pa.Array, at: pa.Array) -> pa.Array:
         out = []
         for given, where in zip(texts, at):
-            whole = given.as_py().encode()
             start, size = (where.values.field(k).to_numpy() for k in (0, 1))
-            kept = where.values.filter(pa.array(_promising(whole, start, size, words)))
-            out.append({"spans": [{"start": s, "end": e} for s, e in _cut_spans(whole, start, size, least)], "anchors": kept.to_pylist()})
-        return pa.array(out, pa.struct([("spans", pa.list_(span)), ("anchors", pa.list_(anchor))]))
+            out.append(where.values.filter(pa.array(_promising(given.as_py().encode(), start, size, words))).to_pylist())
+        return pa.array(out, pa.list_(anchor))
 
-    @F.arrow_udf("array<struct<start:int,end:int>>")
+    @F.arrow_udf(SPANS)
     def extended(texts: pa.Array, earlier: pa.Array, at: pa.Array) -> pa.Array:
         out = []
         for given, other, where in zip(texts, earlier, at):
@@ -231,21 +221,22 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", l
         return pa.array(out, pa.list_(span))
 
     # Few texts have anchors that can lie in a passage: from here on only those and the ones they repeat are moved.
-    sift = (texts.join(repeats, ["doc", "hash"]).select("doc", "hash", "first", sifted("text", "at").alias("s"))
-            .select("doc", "hash", "first", "s.*").filter("size(spans) > 0 OR size(anchors) > 0").dropDuplicates(["doc", "hash"]))
-    sift = written(sift, "repeats")
-    pairs = (sift.select("doc", "hash", F.explode("anchors").alias("a")).groupBy("doc", "hash", F.col("a.first").alias("holder"))
-             .agg(F.collect_list(F.struct("a.start", "a.size", "a.digest")).alias("at")))
-    later = texts.join(sift.filter("size(anchors) > 0").select("doc", "hash"), ["doc", "hash"], "left_semi").dropDuplicates(["doc", "hash"])
+    with_repeats = texts.filter(marked("doc", Marks.of(repeats.select("doc")).sent(spark)))
+    sift = (with_repeats.join(repeats, ["doc", "hash"]).select("doc", "hash", sifted("text", "at").alias("anchors"))
+            .filter("size(anchors) > 0").dropDuplicates(["doc", "hash"]))
+    sift = written(sift, "anchors")
     holders = sift.select(F.explode("anchors.first").alias("doc")).distinct()
-    holders = (texts.join(holders, "doc", "left_semi").dropDuplicates(["doc", "hash"])
+    wanted = Marks.of(holders.union(sift.select("doc"))).sent(spark)
+    moved = written(texts.filter(marked("doc", wanted)), "moved-texts")
+    holders = (moved.join(holders, "doc", "left_semi").dropDuplicates(["doc", "hash"])
                .select(F.col("doc").alias("holder"), F.col("text").alias("earlier")))
-    more = (pairs.join(holders, "holder").join(later, ["doc", "hash"])
-            .select("doc", "hash", extended("text", "earlier", "at").alias("more"))
-            .groupBy("doc", "hash").agg(F.flatten(F.collect_list("more")).alias("more")))
-    known = (sift.select("doc", "hash", "first", "spans").join(more, ["doc", "hash"], "left")
-             .select("doc", "hash", "first", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>"))).alias("at"))
-             .filter("size(at) > 0"))
+    pairs = (sift.select("doc", "hash", F.explode("anchors").alias("a")).groupBy("doc", "hash", F.col("a.first").alias("holder"))
+             .agg(F.collect_list(F.struct("a.start", "a.size", "a.digest")).alias("at"))
+             .join(moved.dropDuplicates(["doc", "hash"]), ["doc", "hash"]))
+    # A text that very many repeat is one row of the right side; the pairs, which hold their own texts, can be split.
+    known = (pairs.join(holders, "holder").select("doc", "hash", "holder", extended("text", "earlier", "at").alias("more"))
+             .filter("size(more) > 0").groupBy("doc", "hash").agg(F.flatten(F.collect_list("more")).alias("at"), F.min("holder").alias("first")))
+    known = written(known, "spans")
 
     @F.arrow_udf("text string, spans array<struct<start:int,end:int>>, removed long")
     def without(texts: pa.Array, at: pa.Array) -> pa.Array:
@@ -266,10 +257,13 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", l
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                                         ("removed", pa.int64())]))
 
-    joined = rows.join(known, ["doc", "hash"], "left")
-    touched = joined.withColumn("new", without(F.when(F.col("at").isNotNull(), F.col("text")), "at"))
+    changes = marked("doc", Marks.of(known.select("doc")).sent(spark))
+    touched = rows.filter(changes).join(known, ["doc", "hash"], "left").withColumn("new", without(F.when(F.col("at").isNotNull(), F.col("text")), "at"))
     changed = F.coalesce(F.size("new.spans"), F.lit(0)) > 0
-    return touched.select(F.col("doc").alias(id), F.when(changed, F.col("new.text")).otherwise(F.col("text")).alias(text),
-                          F.when(changed, F.col("new.spans")).alias("spans"),
-                          F.coalesce("new.removed", F.lit(0)).alias("removed"), F.when(changed, F.col("first")).alias("first"),
-                          *(F.col("carried").getField(c).alias(c) for c in carry))
+    carried = [F.col("carried").getField(c).alias(c) for c in carry]
+    touched = touched.select(F.col("doc").alias(id), F.when(changed, F.col("new.text")).otherwise(F.col("text")).alias(text),
+                             F.when(changed, F.col("new.spans")).alias("spans"), F.coalesce("new.removed", F.lit(0)).cast("long").alias("removed"),
+                             F.when(changed, F.col("first")).alias("first"), *carried)
+    rest = rows.filter(~changes).select(F.col("doc").alias(id), F.col("text").alias(text), F.lit(None).cast(SPANS).alias("spans"),
+                                        F.lit(0).cast("long").alias("removed"), F.lit(None).cast(rows.schema["doc"].dataType).alias("first"), *carried)
+    return touched.union(rest)

@@ -6,35 +6,21 @@ executor costs no more than the tasks it ran.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SETTING = "spark.checkpoint.dir"
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names. Where none is named, a local master gets one of its own; a cluster is refused."""
-    named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="llm-work-")
-    spark.conf.set(SETTING, own)
-    return own
-
+from jobtally.llm import arrays as A
+from jobtally.session import shared_folder
 
 def written(frame: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read again."""
-    spark = frame.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path, partitionBy=by)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def removed(frame: DataFrame) -> None:
@@ -51,6 +37,61 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+MARK_BITS = 1 << 27
+
+
+class Marks:
+    """Which of many whole numbers may be in a set: one bit for each place a hash can take, 16 MB at most.
+
+    A number of the set is always found; of the others one in sixteen is found too while the set is small against the
+    bits, and more as it grows. So it only spares work: what it lets through has to be joined with the set itself.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (A.mixed(keys.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Marks:
+        """Marks of the one long column of `keys`; tasks send the words they set, which are put together before the driver sees them."""
+        bits = min(MARK_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(cls.places(batch.column(0).drop_null().to_numpy(), bits))
+                if len(at):
+                    word, first = np.unique(at >> 6, return_index=True)
+                    value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                    yield pa.record_batch([pa.array(word), pa.array(value.view(np.int64))], ["word", "value"])
+
+        found = keys.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def hold(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, 64 * len(self.words))
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+    def sent(self, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray]:
+        """A function for tasks, which get the bits once each executor."""
+        held = spark.sparkContext.broadcast(self.words)
+        return lambda keys: Marks(held.value).hold(keys)
+
+
+def marked(column: Column | str, holds: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """Whether a long may be in the set of the marks sent; null is not."""
+    @F.arrow_udf("boolean")
+    def run(keys: pa.Array) -> pa.Array:
+        known = keys.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(known & holds(keys.fill_null(0).to_numpy(zero_copy_only=False)))
+
+    return run(column)
+
+
 def unit(column: Column | str, seed: str = "") -> Column:
     """A fixed number in [0, 1) from a value: the same in every run and on every layout."""
     column = F.col(column) if isinstance(column, str) else column
