@@ -86,13 +86,37 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarr
     return start, end, A.Hashes(data).of(start, end).view(np.int64)
 
 
+def _in_long_runs(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, end: np.ndarray, hit: np.ndarray, words: int) -> np.ndarray:
+    """Which of the hit anchors can lie in a passage of `words` words: `_promising` for all texts of a batch at once.
+
+    Chunks come first, in order, then stretches. A run of hit chunks reaches as far as the chunks beside it may be cut
+    otherwise elsewhere; a passage lies inside that, so it has to hold enough words.
+    """
+    n = int(np.searchsorted(np.maximum.accumulate(end), len(data), side="left")) + 1 if len(end) else 0
+    first, last = start[:n], end[:n]
+    text = np.searchsorted(bounds, first, side="right") - 1
+    fresh = np.r_[True, text[1:] != text[:-1]] if n else np.zeros(0, bool)
+    ends = np.r_[fresh[1:], True] if n else fresh
+    mine = hit[:n]
+    opens = np.flatnonzero(mine & (fresh | ~np.r_[False, mine[:-1]])) if n else np.zeros(0, np.int64)
+    closes = np.flatnonzero(mine & (ends | ~np.r_[mine[1:], False])) if n else opens
+    low = np.where(fresh[opens], bounds[text[opens]], np.maximum(bounds[text[opens]], first[opens - 1] - CERTAIN[0]))
+    high = np.where(ends[closes], bounds[text[closes] + 1], np.minimum(bounds[text[closes] + 1], last[np.minimum(closes + 1, n - 1)] + CERTAIN[1]))
+    found = A.runs(A.not_white()[data], bounds)
+    held = np.searchsorted(found.start, high) - np.searchsorted(found.end, low, side="right")
+    run = np.cumsum(np.bincount(opens, minlength=n)) - 1
+    keep = hit.copy()
+    keep[:n][mine] = (held >= words)[run[mine]]
+    return keep
+
+
 def _chunk_rows(words: int, holds=None):
     def rows(batches):
         for part in slices(batches, "text"):
             data, bounds = A.utf8(part.column("text"))
             start, end, digest = _anchors(data, bounds, words)
             if holds:
-                may = holds(digest)
+                may = _in_long_runs(data, bounds, start, end, holds(digest), words)
                 start, end, digest = start[may], end[may], digest[may]
             row = np.searchsorted(bounds, start, side="right") - 1
             doc, hashed = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "hash"))
@@ -132,14 +156,19 @@ def _promising(text: bytes, starts: np.ndarray, sizes: np.ndarray, words: int) -
     return ~chunk | good[at]
 
 
-def _extended(text: bytes, earlier: bytes, starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray,
-              words: int) -> list[tuple[int, int]]:
-    """Spans of `text` around the anchors that `earlier` holds as well, of at least `words` words that are whole in both."""
-    a, b = np.frombuffer(text, np.uint8), np.frombuffer(earlier, np.uint8)
+def _places(text: bytes, words: int) -> dict[int, list[int]]:
+    """Where the anchors of a text start, by digest."""
     where: dict[int, list[int]] = {}
-    begin, _, known = _anchors(b, np.array([0, len(b)]), words)
+    begin, _, known = _anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)
     for s, d in zip(begin.tolist(), known.tolist()):
         where.setdefault(d, []).append(s)
+    return where
+
+
+def _extended(text: bytes, earlier: bytes, where: dict[int, list[int]], starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray,
+              words: int) -> list[tuple[int, int]]:
+    """Spans of `text` around the anchors that `earlier`, with its places, holds as well, of at least `words` words that are whole in both."""
+    a, b = np.frombuffer(text, np.uint8), np.frombuffer(earlier, np.uint8)
     white, spans, reached, covered = A.WHITE, set(), {}, 0
     for k in np.argsort(starts, kind="stable"):
         s, size = int(starts[k]), int(sizes[k])
@@ -213,10 +242,12 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", c
 
     @F.arrow_udf(SPANS)
     def extended(texts: pa.Array, earlier: pa.Array, at: pa.Array) -> pa.Array:
-        out = []
-        for given, other, where in zip(texts, earlier, at):
-            spans = _extended(given.as_py().encode(), other.as_py().encode(),
-                              *(where.values.field(k).to_numpy() for k in range(3)), words)
+        out, held, places = [], None, {}
+        for given, holder, where in zip(texts, earlier, at):
+            other = holder.as_py().encode()
+            if other != held:  # the join brings the pairs of a holder one after another
+                held, places = other, _places(other, words)
+            spans = _extended(given.as_py().encode(), other, places, *(where.values.field(k).to_numpy() for k in range(3)), words)
             out.append([{"start": s, "end": e} for s, e in spans])
         return pa.array(out, pa.list_(span))
 

@@ -171,6 +171,52 @@ def test_chunks_of_awkward_rows(spark):
     assert chunks.deduplicated(awkward(spark, [])).count() == 0
 
 
+def plain_repeats(rows, words=50):
+    """Byte spans that repeat `words` whole words of an earlier text, by every window of so many words."""
+    seen, out = {}, {}
+    for i, text in sorted(rows):
+        data = (text or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        windows = [(at[k][0], at[k + words - 1][1]) for k in range(len(at) - words + 1)]
+        out[i] = chunks._joined([(s, e) for s, e in windows if seen.get(data[s:e], i) < i])
+        for s, e in windows:
+            seen.setdefault(data[s:e], i)
+    return out
+
+
+def test_repeats_of_a_whole_table_match_brute_force(spark, sf_dir, docs):
+    expected = plain_repeats(docs.select("doc_id", "text").collect())
+    got = {r.doc_id: [tuple(s) for s in r.spans or ()] for r in queries.op4_substring_dedup(spark, sf_dir).collect()}
+    assert got == expected and sum(map(bool, expected.values())) > 10
+
+
+def test_runs_of_a_batch_match_those_of_each_text():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(rng.choice([0, 1, 5, 60, 200]))).encode() for _ in range(300)]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, end, _ = chunks._anchors(data, bounds, 50)
+    for share in (0.1, 0.5, 0.9, 1.0):
+        hit = np.array([rng.random() < share for _ in start])
+        keep = chunks._in_long_runs(data, bounds, start, end, hit, 50)
+        row = np.searchsorted(bounds, start, side="right") - 1
+        for k, text in enumerate(texts):
+            mine = (row == k) & hit
+            if mine.any():
+                assert keep[mine].tolist() == chunks._promising(text, start[mine] - bounds[k], (end - start)[mine], 50).tolist()
+        assert not keep[~hit].any()
+
+
+def test_marks_never_lose_a_member(spark):
+    from jobtally.llm.work import Marks, marked
+    rng = np.random.default_rng(2)
+    inside, outside = rng.integers(-2**63, 2**63, 5000), rng.integers(-2**63, 2**63, 5000)
+    marks = Marks.of(spark.createDataFrame([(int(v),) for v in inside] + [(None,)], "k long").repartition(4))
+    assert marks.hold(inside).all() and marks.hold(outside).mean() < 0.1
+    rows = spark.createDataFrame([(int(inside[0]),), (None,)], "k long")
+    assert [r[0] for r in rows.select(marked("k", marks.sent(spark))).collect()] == [True, False]
+    assert not Marks.of(rows.limit(0)).hold(outside).any()
+
+
 def test_cuts_resist_an_insertion():
     text = (" ".join(f"token{i * 37 % 101}" for i in range(400))).encode()
     cut = lambda t: {t[s:e] for s, e in zip(*chunks.cuts(np.frombuffer(t, np.uint8), np.array([0, len(t)])))}
