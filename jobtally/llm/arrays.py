@@ -68,8 +68,21 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(bounds, start, side="right") - 1)
 
 
-@functools.lru_cache(maxsize=4)
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
+TABLE_MOST = 1 << 21
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse. A worker keeps one table, of the longest slice so far, and none of a longer text."""
+    if not _TABLE or len(_TABLE[0][0]) < n:
+        made = _made_powers(n)
+        if n > TABLE_MOST:
+            return made
+        _TABLE[:] = [made]
+    return tuple(x[:n] for x in _TABLE[0])
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     steps = np.full(n, BASE, np.uint64)
     steps[:1] = 1
     back = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)

@@ -27,6 +27,7 @@ from jobtally.llm import arrays as A
 from jobtally.llm.work import Marks, marked, slices, written
 
 RADIUS = 16
+SLICE = 1 << 19  # bytes of text that a task looks at together
 WINDOW = 16
 CERTAIN = WINDOW + 2 * RADIUS, 2 * RADIUS + 1  # bytes before and after a cut that settle it, its lonely neighbours included
 OFTEN = 8  # an anchor inside what is already found is tried at no more places than this
@@ -112,7 +113,7 @@ def _in_long_runs(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, end:
 
 def _chunk_rows(words: int, holds=None):
     def rows(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             data, bounds = A.utf8(part.column("text"))
             start, end, digest = _anchors(data, bounds, words)
             if holds:

@@ -6,12 +6,17 @@ a word keeps the best scores and back pointers of the prefix it has in common wi
 positions below are searched anew. The best segmentation has the greatest sum of piece scores; among equals the longer
 last piece wins. Characters without a piece are spelled in byte pieces.
 
+Scores are logarithms of piece probabilities. A file of merges has ranks in their place, which mean nothing when added; they
+become the probabilities of a Zipf-Mandelbrot law, 1 / (rank + FLAT) over its sum. With FLAT this large two pieces never
+beat one, and among equally many the frequent ones win.
+
 Cases: a null text has null pieces, an empty one no pieces. The mark itself in a text is spelled in bytes, so every text
 comes back exactly. Runs of any length are searched whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -26,7 +31,9 @@ from jobtally.llm.work import by_slices
 
 MARK = "▁"
 UNKNOWN_BELOW_WORST = 10.0
-CACHE = 250_000
+FLAT = 1_000
+CACHE = 100_000  # words that a worker remembers
+SLICE = 1 << 18  # bytes of text that it splits at once
 # A marked word: marks and what follows up to the next mark. A line feed is in no piece but its byte, so it ends one, too.
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 HELD = "\udfff"  # stands for a mark that the text itself contains: no text can hold a lone surrogate
@@ -71,12 +78,21 @@ def load(path: str) -> Vocabulary:
         else:
             pieces[piece] = (i, model.get_score(i))
             spelled.append(piece.replace(MARK, " ").encode())
+    if all(float(s).is_integer() for _, s in pieces.values()):
+        pieces = _from_ranks(pieces)
     crossing = [p for p in pieces if re.search(f"[^{MARK}]{MARK}|.\n|\n.", p)]
     if crossing:
         raise ValueError(f"pieces cross marked words: {crossing[:5]}")
     return Vocabulary(pieces, byte_ids, spelled, min(s for _, s in pieces.values()) - UNKNOWN_BELOW_WORST)
 
 
+def _from_ranks(pieces: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float]]:
+    """The pieces with log probabilities by their order; equal ranks go by id."""
+    order = sorted(pieces, key=lambda p: (-pieces[p][1], pieces[p][0]))
+    total = sum(1 / (rank + FLAT) for rank in range(len(order)))
+    return {p: (pieces[p][0], -math.log((rank + FLAT) * total)) for rank, p in enumerate(order)}
+
+
 def segment(words: list[str], vocabulary: Vocabulary, root: tuple) -> dict[str, list[int]]:
     """Ids of every marked word. `words` are walked in sorted order, as a trie; the stack holds the current path."""
     byte_ids, unknown = vocabulary.byte_ids, vocabulary.unknown
@@ -194,7 +210,7 @@ def _texts_of(spelled: list[bytes]) -> Callable[[pa.Array], pa.Array]:
 
 def encoded(text: Column | str, vocabulary: Vocabulary) -> Column:
     """Piece ids of a text."""
-    return by_slices(_ids_of(vocabulary), "array<int>")(text)
+    return by_slices(_ids_of(vocabulary), "array<int>", SLICE)(text)
 
 
 def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
@@ -210,4 +226,4 @@ def coded(text: Column | str, vocabulary: Vocabulary) -> Column:
         ids = ids_of(part)
         return pa.StructArray.from_arrays([ids, texts_of(ids)], ["ids", "back"])
 
-    return by_slices(both, "struct<ids:array<int>,back:string>")(text)
+    return by_slices(both, "struct<ids:array<int>,back:string>", SLICE)(text)

@@ -113,15 +113,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             first = last
 
 
-def by_slices(values: Callable, kind: str) -> Callable:
-    """An Arrow function of one text column, made from a function of small batches that gives an array."""
+def by_slices(values: Callable, kind: str, most: int = 1 << 21) -> Callable:
+    """An Arrow function of one text column, made from a function of small batches, of about `most` bytes, that gives an array."""
     @F.arrow_udf(kind)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             if isinstance(column, pa.ChunkedArray):
                 column = column.combine_chunks()
             batch = pa.record_batch([column], ["text"])
-            parts = [pa.array(values(part)) for part in slices(iter([batch]), "text")]
+            parts = [pa.array(values(part)) for part in slices(iter([batch]), "text", most)]
             yield pa.concat_arrays(parts) if parts else pa.nulls(0)
 
     return run
