@@ -11,7 +11,8 @@ one hub of its buckets that shares most buckets with others. What is then still
 is compared with the rest of the bucket, in blocks, so that no link is lost.
 
 Cases: a null or wordless text has an empty set and no link; fewer words than a shingle make one shingle; repeated rows
-are copies of each other; rows without an id are counted, but take no part in links (component null, kept).
+are copies of each other; different texts under one id are documents of their own, each with its own links; rows without an id are
+counted, but take no part in links (component null, kept).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobtally.llm import arrays as A
 from jobtally.llm.components import components
 from jobtally.llm.work import by_slices, removed, tasks, written
+from jobtally.operators.joins import split_lookup
 
 REGISTERS, BANDS = 240, 40
 BASE, RATE, LEVELS = 1.02, 20.0, 60_000
@@ -273,25 +275,26 @@ def _open_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent:
 
 def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5,
                     percent: int = 80) -> DataFrame:
-    """Per row: id, n_shingles, component_id and kept, for links of at least `percent` Jaccard index.
+    """Per row: id, n_shingles, component_id, kept and a digest of the text, for links of at least `percent` Jaccard index.
 
     `component_id` is the smallest id that can be reached over links, the row's own included; `kept` marks it.
     """
     rows = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    sketches = written(rows.select("doc", sketch("text", words).alias("s")).select("doc", "s.*"), "sketches")
+    digest = F.xxhash64("text").alias("digest")
+    sketches = written(rows.select("doc", digest, sketch("text", words).alias("s")).select("doc", "digest", "s.*"), "sketches")
     named = ["n", "name1", "name2"]
-    classes = (sketches.filter("n > 0 AND doc IS NOT NULL").groupBy(*named)
-               .agg(F.min("doc").alias("v"), F.count("*").alias("copies")))
-    classes = written(classes, "classes")
-    first = sketches.join(classes.select("v", *named), named).filter("doc = v").select("v", "n", "registers")
-    first = first.dropDuplicates(["v", "n"])
+    # Classes are numbered once, when they are written: an id can have texts of several.
+    classes = written(sketches.filter("n > 0 AND doc IS NOT NULL").groupBy(*named).agg(F.min("doc").alias("of"))
+                      .withColumn("v", F.monotonically_increasing_id()), "classes")
+    first = sketches.join(classes, named).filter("doc = of").select("v", "n", "registers").dropDuplicates(["v"])
     keyed = first.select("v", F.posexplode(bands("registers")).alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
-    wanted = buckets.select("v").distinct()
-    texts = rows.filter("doc IS NOT NULL").join(wanted, F.col("doc") == F.col("v"), "left_semi")
-    sets = written(texts.select(F.col("doc").alias("v"), sketch("text", words).alias("s"), shingle_set("text", words).alias("set"))
-                   .select("v", "s.n", "s.registers", "set").dropDuplicates(["v", "n"]), "sets")
+    wanted = classes.join(buckets.select("v").distinct(), "v").select("v", "of", *(F.col(c).alias(f"of_{c}") for c in named))
+    texts = rows.filter("doc IS NOT NULL").join(wanted, F.col("doc") == F.col("of"))
+    own = texts.select("v", *(f"of_{c}" for c in named), sketch("text", words).alias("s"), shingle_set("text", words).alias("set"))
+    own = own.filter(" AND ".join(f"s.{c} = of_{c}" for c in named))
+    sets = written(own.select("v", "s.n", "s.registers", "set").dropDuplicates(["v"]), "sets")
     least = percent / 100
     near = written(_verified(_plausible_pairs(_hub_pairs(buckets), sets, least), sets, percent), "links")
     found = written(components(near), "components")
@@ -299,13 +302,15 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     final = written(components(all_links), "components")
     for table in (buckets, sets, near, found):
         removed(table)
-    classes = classes.join(final, "v", "left").select(
-        *named, F.coalesce("component", "v").alias("of_class"))
+    members = classes.join(final, "v", "left").select(*named, "of", F.coalesce("component", "v").alias("component"))
+    smallest = members.groupBy("component").agg(F.min("of").alias("of_class"), F.count("*").alias("members"))
+    classes = split_lookup(members.select(*named, "component"), smallest, ["component"], size="members").select(*named, "of_class")
     return (sketches.join(classes, named, "left")
-            .select(F.col("doc").alias(id), F.col("n").alias("n_shingles"),
+            .select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), "digest",
                     F.when(F.col("n") > 0, F.col("of_class")).otherwise(F.col("doc")).alias("component"))
-            .select(id, "n_shingles", F.when(F.col(id).isNotNull(), F.col("component")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))))
+            .select(id, "n_shingles", F.when(F.col(id).isNotNull(), F.col("component")).alias("component_id"), "digest")
+            .withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+            .select(id, "n_shingles", "component_id", "kept", "digest"))
 
 
 def shingle_set(text: Column | str, words: int) -> Column:
