@@ -3,17 +3,20 @@
 A vector is represented by its nearest pivots in order. Pivots are vectors of the table itself, a bounded sample chosen
 by a hash. Every block of vectors keeps an inverted file: for each pivot, the vectors that have it among their first
 `POSTED`. A query looks into the files of its first `PROBED` pivots, ranks what it finds by footrule distance (the sum
-of differences of pivot positions, `KEPT` for a pivot that is not among the first `KEPT`), and the nearer `SHARE` of it
-is ranked again by cosine in double precision on the original vectors. Equal vectors are one entry that holds its
+of differences of pivot positions, `KEPT` for a pivot that is not among the first `KEPT`), and the nearer `SHARE` of it,
+but `LEAST` entries or more, is ranked again by cosine in double precision on the original vectors. Where the files of those
+pivots hold fewer than `LEAST`, all entries of the block are ranked. Equal vectors are one entry that holds its
 smallest ids, so copies neither crowd a list nor a task. Queries meet vectors in blocks of bounded size.
 
-Cases: null, empty or zero vectors and those with null or non-finite components take no part, nor do vectors of another
-length than the pivots' commonest; rows without an id take no part; repeated rows count once; with fewer candidates than
-asked for, all are given.
+Cases: null, empty or zero vectors and those with null or non-finite components take no part; vectors of each length are
+searched among themselves, since there is no cosine between different ones; rows without an id take no part; repeated rows
+count once; with fewer candidates than asked for, all are given.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from jobtally.llm.work import tasks, unit, written
 
 PIVOTS, KEPT, POSTED, PROBED, SHARE = 256, 48, 12, 24, 0.5
+LEAST = 64  # entries of a block that a query is compared with at least: all, if there are fewer
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 
 
@@ -55,9 +59,11 @@ def search(queries: np.ndarray, vectors: np.ndarray, query_order: np.ndarray, or
         for p in mine[:PROBED]:
             found[files[p]] = True
         found = np.flatnonzero(found)
+        if len(found) < min(LEAST, len(vectors)):
+            found = np.arange(len(vectors))
         at = place[found][:, mine]
         footrule = (np.abs(at - np.arange(kept, dtype=np.int16)) - (kept - at)).sum(axis=1, dtype=np.int32)
-        n = -(-len(found) * SHARE // 1)
+        n = max(-(-len(found) * SHARE // 1), min(LEAST, len(found)))
         limit = np.partition(footrule, int(n) - 1)[int(n) - 1] if n else 0
         chosen = found[footrule <= limit]
         yield chosen, b[chosen] @ q
@@ -66,30 +72,33 @@ def search(queries: np.ndarray, vectors: np.ndarray, query_order: np.ndarray, or
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding",
             seed: str = "pivots") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for every row where `is_query`."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    parts = [_nearest(rows.filter(F.size("vector") == d), d, k, seed) for d in lengths]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, parts) if parts else none
+
+
+def _nearest(rows: DataFrame, width: int, k: int, seed: str) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
+    rows = rows.distinct()
     first = W.partitionBy("vector").orderBy("id")
     entries = (rows.select("id", "vector").withColumn("nr", F.dense_rank().over(first)).filter(F.col("nr") <= k + 1)
                .groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     sample = (entries.select("vector", F.col("ids")[0].alias("id")).orderBy(unit("id", seed), "id").limit(PIVOTS)
               .select("vector").collect())
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
-        return none
-    sizes = [len(r.vector) for r in sample]
-    width = max(set(sizes), key=lambda s: (sizes.count(s), -s))
-    pivots = _unit(np.array([r.vector for r in sample if len(r.vector) == width]))
+    pivots = _unit(np.array([r.vector for r in sample]))
 
     @F.arrow_udf("binary")
     def order_of(column: pa.Array) -> pa.Array:
         flat = np.asarray(column.flatten()).reshape(-1, width)
         return pa.array([row.tobytes() for row in permutations(flat, pivots)], pa.binary()) if len(flat) else pa.array([], pa.binary())
 
-    fitting = F.size("vector") == width
-    index = written(entries.filter(fitting).select("ids", "vector", order_of("vector").alias("order")), "index")
-    asked = written(rows.filter(fitting & F.col("asks")).select("id", "vector").distinct()
+    index = written(entries.select("ids", "vector", order_of("vector").alias("order")), "index")
+    asked = written(rows.filter("asks").select("id", "vector").distinct()
                     .select("id", "vector", order_of("vector").alias("order")), "queries")
     blocks = max(1, -(-index.count() // BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
