@@ -35,7 +35,7 @@ def _levels(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     own = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(2654435761)
     for k in range(WINDOW):
         shifted = own >> np.uint32(k + 3) ^ own << np.uint32(2 * k)
-        value[k:] += shifted[: len(data) - k] if k else shifted
+        value[k:] += shifted[: max(len(data) - k, 0)]
     # Bytes of the text before must not reach into the first windows of a text.
     reach = A.spread(bounds[:-1], np.minimum(np.diff(bounds), WINDOW - 1))
     value[reach] = own[reach] * np.uint32(40503) + np.uint32(1)
