@@ -4,10 +4,11 @@ Documents are summed by membership pattern (the set of sources they belong to).
 the quotas of their sources: the first pass over a pattern is free, every further pass costs one more, up to `most`
 passes, so repetition is spread as thinly as the quotas allow. A pattern's flow is then turned into documents: whole
 passes first, and for the remainder the documents in a seeded order that fit one after another, plus the one document
-that brings the sum nearest. Only sums by pattern reach the driver.
+that brings the sum nearest. The order goes by a hash of seed, id and text, so rows without an id, or under one, are spread
+like all others. Only sums by pattern reach the driver.
 
 Cases: documents without sources or words are never needed and take 0 words; a null source is a source of its own, after
-all others; repeated rows are separate documents in an order by id and size; quotas beyond `most` passes are cut to them.
+all others; repeated rows are separate documents, told apart by a number that is written once with the sizes; quotas beyond `most` passes are cut to them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Hashable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobtally.llm.work import written
+from jobtally.operators.joins import split_lookup
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 20_000
@@ -28,6 +30,11 @@ def words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest(text: Column | str) -> Column:
+    """What tells texts under one id apart; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def shared_by_weight(sizes: list[int], weights: list[float], share: float, most: int) -> list[float]:
     """Targets that sum to `share` of all sizes, in proportion to the weights, none above `most` times its size.
 
@@ -108,32 +115,35 @@ def pattern_key(sources: Column | str) -> Column:
 
 
 def selected(documents: DataFrame, needed: dict[str, int], most: int, seed: str) -> DataFrame:
-    """`documents` (id, pattern, size) with the number of times each is taken, so that a pattern gives the words needed."""
+    """`documents` (row, id, digest, pattern, size) with the number of times each is taken, so that a pattern gives the words needed."""
     spark = documents.sparkSession
-    sums = documents.groupBy("pattern").agg(F.sum("size").alias("held")).collect()
-    plan = [(r.pattern, min(needed.get(r.pattern, 0), most * r.held), r.held) for r in sums]
-    plan = spark.createDataFrame([(p, n // h if h else 0, n % h if h else 0) for p, n, h in plan],
-                                 "pattern string, passes long, rest long")
-    buckets = max(1, math.ceil(documents.count() / ROWS_PER_BUCKET))
-    place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    sums = documents.groupBy("pattern").agg(F.sum("size").alias("held"), F.count("*").alias("n")).collect()
+    plan = [(r.pattern, min(needed.get(r.pattern, 0), most * r.held), r.held, r.n) for r in sums]
+    plan = spark.createDataFrame([(p, a // h if h else 0, a % h if h else 0, n) for p, a, h, n in plan],
+                                 "pattern string, passes long, rest long, n_rows long")
+    buckets = max(1, math.ceil(sum(r.n for r in sums) / ROWS_PER_BUCKET))
+    place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\x1f"), "digest"))
     keyed = documents.withColumn("place", place).withColumn(
         "bucket", F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets, 32))
     before = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
     before = before.withColumn("before", F.sum("sum").over(W.partitionBy("pattern").orderBy("bucket")) - F.col("sum"))
     # What every document adds up to in the seeded order: within its bucket, plus all buckets before.
-    order = W.partitionBy("pattern", "bucket").orderBy("place", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("pattern", "bucket").orderBy("place", "row").rowsBetween(W.unboundedPreceding, 0)
     running = (keyed.withColumn("within", F.sum("size").over(order))
-               .join(before.drop("sum"), ["pattern", "bucket"]).join(plan, "pattern")
-               .withColumn("fits", F.col("before") + F.col("within") <= F.col("rest")))
-    running = written(running.select("id", "pattern", "size", "place", "passes", "rest", "fits"), "mix")
+               .join(before.drop("sum"), ["pattern", "bucket"]))
+    # One pattern may hold most documents: its rows are split for the lookup.
+    running = split_lookup(running, plan, ["pattern"], size="n_rows").withColumn("fits", F.col("before") + F.col("within") <= F.col("rest"))
+    running = written(running.select("row", "id", "digest", "pattern", "size", "place", "passes", "rest", "fits"), "mix")
     gaps = running.groupBy("pattern").agg(
         (F.max("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
-    open_rows = running.filter("NOT fits").join(gaps, "pattern").filter("abs(gap - size) < gap")
+    gaps = gaps.join(plan.select("pattern", "n_rows"), "pattern")
+    open_rows = split_lookup(running.filter("NOT fits"), gaps, ["pattern"], size="n_rows", how="inner").filter("abs(gap - size) < gap")
     last = open_rows.groupBy("pattern").agg(
-        F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "place", "size")).alias("best"))
-    one_more = (F.col("place") == F.col("best.place")) & (F.col("size") == F.col("best.size")) & ~F.col("fits")
-    return (running.join(last, "pattern", "left")
-            .select("id", "pattern", "size", (F.col("passes") + F.when(F.col("fits") | F.coalesce(one_more, F.lit(False)), 1)
+        F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "place", "row")).alias("best"))
+    last = last.select("pattern", F.col("best.row").alias("one_more")).join(plan.select("pattern", "n_rows"), "pattern")
+    one_more = (F.col("row") == F.col("one_more")) & ~F.col("fits")
+    return (split_lookup(running, last, ["pattern"], size="n_rows")
+            .select("id", "digest", "pattern", "size", (F.col("passes") + F.when(F.col("fits") | F.coalesce(one_more, F.lit(False)), 1)
                                               .otherwise(0)).alias("times")))
 
 
@@ -145,8 +155,8 @@ def mix(documents: DataFrame, sources: Column, share: float = 1.5, weights: tupl
     `weights` in turn; together they get `share` of all words, and none more than `most` times what it holds.
     """
     spark = documents.sparkSession
-    sized = written(documents.select(F.col(id).alias("id"), sources.alias("sources"), words(text).alias("size"))
-                    .withColumn("pattern", pattern_key("sources")), "sizes")
+    sized = written(documents.select(F.col(id).alias("id"), digest(text).alias("digest"), sources.alias("sources"), words(text).alias("size"))
+                    .withColumns({"pattern": pattern_key("sources"), "row": F.monotonically_increasing_id()}), "sizes")
     patterns = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).collect()
     sizes: dict[str, int] = {}
     members: dict[str, list] = {}
@@ -166,8 +176,8 @@ def mix(documents: DataFrame, sources: Column, share: float = 1.5, weights: tupl
     needed: dict[str, int] = {}
     for (pattern, _), amount in flow.items():
         needed[pattern] = needed.get(pattern, 0) + amount
-    taken = selected(sized.select("id", "pattern", "size"), needed, most, seed)
-    mixed = taken.select(F.col("id").alias(id), "pattern", "size", "times", (F.col("times") * F.col("size")).alias("taken"))
+    taken = selected(sized.select("row", "id", "digest", "pattern", "size"), needed, most, seed)
+    mixed = taken.select(F.col("id").alias(id), "pattern", "size", "times", (F.col("times") * F.col("size")).alias("taken"), "digest")
     reached = {s: sum(a for (_, t), a in flow.items() if t == s) for s in names}
     report = spark.createDataFrame([(s, held[s], targets[s], reached[s]) for s in names],
                                    "source string, source_size long, target double, routed long")

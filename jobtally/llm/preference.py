@@ -6,7 +6,7 @@ assistant and their end marks. Markers inside a text are broken up, so that no t
 
 Cases: a null role or text is rendered as empty, but is no equal of an empty one; turns with the same number are ordered
 by role, then text; a conversation that ends inside the other has an empty completion without spans, as both have where
-they are equal; a null conversation counts as one without turns.
+they are equal; a null conversation counts as one without turns; an input column with the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ANSWERS = "assistant"
 END = "<|end|>\n"
+OUTPUTS = ("n_common", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans")
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -65,23 +66,25 @@ def spans(turns: Column) -> Column:
 def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """The other columns of `pairs`, then n_common, prompt, and text and spans of both completions."""
     a, b = (F.coalesce(F.col(c), F.array().cast(TURNS)) for c in (chosen, rejected))
-    others = [c for c in pairs.columns if c not in (chosen, rejected)]
-    base = pairs.select(*others, a.alias("__a"), b.alias("__b"), common_turns(a, b).alias("n_common"))
+    others = [c for c in pairs.columns if c not in (chosen, rejected, *OUTPUTS)]
+    base = pairs.select(F.struct(F.lit(0), *others).alias("__others"), a.alias("__a"), b.alias("__b"), common_turns(a, b).alias("n_common"))
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c) - F.col("n_common"), F.lit(0)))
     return base.select(
-        *others, "n_common", rendered(F.slice("__a", F.lit(1), F.col("n_common"))).alias("prompt"),
+        *(F.col("__others").getField(c).alias(c) for c in others), "n_common", rendered(F.slice("__a", F.lit(1), F.col("n_common"))).alias("prompt"),
         rendered(rest("__a")).alias("chosen_text"), spans(rest("__a")).alias("chosen_spans"),
         rendered(rest("__b")).alias("rejected_text"), spans(rest("__b")).alias("rejected_spans"))
 
 
 def swapped_answers(talks: DataFrame) -> DataFrame:
     """Pairs (id, chosen, rejected): a conversation, and the same with the last answer of the conversation whose id
-    differs in the lowest bit. Conversations without an answer, or whose partner has none, make no pair."""
+    differs in the lowest bit. Without that partner, or without an answer of its own to take, the rejected side ends
+    before the last answer; a conversation without any answer is both sides."""
     answer = lambda t: F.coalesce(t["role"] == ANSWERS, F.lit(False))
-    marks = F.transform("turns", answer)
-    with_last = talks.withColumn("last", F.size("turns") - F.array_position(F.reverse(marks), True) + 1).filter(
-        F.array_contains(marks, True)).withColumn("last", F.col("last").cast("int"))
-    other = with_last.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.element_at("turns", F.col("last")).alias("answer"))
-    joined = with_last.join(other, "id")
+    found = F.array_position(F.reverse(F.transform("turns", answer)), True)
+    last = F.when(found > 0, F.size("turns") - found + 1).cast("int")
+    talks = talks.select("id", "turns", last.alias("last"))
+    other = talks.filter("last IS NOT NULL").select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.element_at("turns", F.col("last")).alias("answer"))
     replaced = F.transform("turns", lambda t, i: F.when(i == F.col("last") - 1, F.col("answer")).otherwise(t))
-    return joined.select("id", F.col("turns").alias("chosen"), replaced.alias("rejected"))
+    rejected = F.when(F.col("last").isNull(), F.col("turns")).when(F.col("answer").isNotNull(), replaced).otherwise(
+        F.slice("turns", F.lit(1), F.col("last") - 1))
+    return talks.join(other, "id", "left").select("id", F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -49,7 +49,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80).drop("digest")
 
 
 @query
@@ -105,7 +105,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with another last answer; spans are shown as text."""
+    """Every conversation against itself with another last answer; spans are shown as text. Turns without an id belong to no conversation."""
     talks = preference.conversations(_table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL"))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return (preference.formatted(preference.swapped_answers(talks)).withColumnRenamed("id", "conv_id")

@@ -5,7 +5,7 @@
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+         md5('mix' || coalesce(doc_id::VARCHAR, '') || chr(31) || md5(coalesce(text, ''))) AS place, row_number() OVER () AS nr_row FROM documents),
 held AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1)::INT % 3 + 1]::DOUBLE AS weight,
@@ -26,17 +26,17 @@ needed AS (
   FROM targets),
 running AS (
   SELECT s.*, n.source_size, n.target, n.passes, n.want - n.passes * n.source_size AS rest,
-         sum(size) OVER (PARTITION BY s.source ORDER BY place, size ROWS UNBOUNDED PRECEDING)
+         sum(size) OVER (PARTITION BY s.source ORDER BY place, nr_row ROWS UNBOUNDED PRECEDING)
            <= n.want - n.passes * n.source_size AS fits
   FROM sized s JOIN needed n ON s.source IS NOT DISTINCT FROM n.source),
 gaps AS (
   SELECT source, max(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM running GROUP BY source),
 last AS (
-  SELECT r.source, arg_min(place, (abs(gap - size), place)) AS best
+  SELECT r.source, arg_min(nr_row, (abs(gap - size), place, nr_row)) AS best
   FROM running r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
   WHERE NOT fits AND abs(gap - size) < gap GROUP BY r.source)
 SELECT doc_id, size, r.source_size, r.target,
-       ((passes + CASE WHEN fits OR place = best THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((passes + CASE WHEN fits OR nr_row = best THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM running r LEFT JOIN last l ON r.source IS NOT DISTINCT FROM l.source
 """
 
@@ -46,18 +46,17 @@ WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
          role, text FROM conversations WHERE conv_id IS NOT NULL),
 answers AS (SELECT conv_id, max(pos) AS pos FROM t WHERE role = 'assistant' GROUP BY conv_id),
-pairs AS (
-  SELECT a.conv_id, a.pos AS last, o.role, o.text
-  FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1) JOIN t o ON o.conv_id = b.conv_id AND o.pos = b.pos),
-paired AS (
-  SELECT t.conv_id, t.pos, t.role, t.text, CASE WHEN t.pos = last THEN p.role ELSE t.role END AS r_role,
-         CASE WHEN t.pos = last THEN p.text ELSE t.text END AS r_text
-  FROM t JOIN pairs p ON t.conv_id = p.conv_id),
+partners AS (
+  SELECT a.conv_id, a.pos AS last, o.conv_id IS NOT NULL AS found, o.role, o.text
+  FROM answers a LEFT JOIN (SELECT t.* FROM t JOIN answers USING (conv_id, pos)) o ON o.conv_id = xor(a.conv_id, 1)),
+rejected AS (
+  SELECT t.conv_id, t.pos, CASE WHEN t.pos = last THEN p.role ELSE t.role END AS role, CASE WHEN t.pos = last THEN p.text ELSE t.text END AS text
+  FROM t LEFT JOIN partners p ON t.conv_id = p.conv_id WHERE p.conv_id IS NULL OR found OR t.pos < last),
 common AS (
-  SELECT conv_id, coalesce(min(pos) FILTER (text IS DISTINCT FROM r_text OR role IS DISTINCT FROM r_role) - 1, max(pos)) AS n
-  FROM paired GROUP BY conv_id),
-sides AS (
-  SELECT conv_id, pos, 'c' AS side, role, text FROM paired UNION ALL SELECT conv_id, pos, 'r', r_role, r_text FROM paired),
+  SELECT t.conv_id, coalesce(min(t.pos) FILTER (r.pos IS NULL OR t.text IS DISTINCT FROM r.text OR t.role IS DISTINCT FROM r.role) - 1,
+                             max(t.pos)) AS n
+  FROM t LEFT JOIN rejected r ON t.conv_id = r.conv_id AND t.pos = r.pos GROUP BY t.conv_id),
+sides AS (SELECT conv_id, pos, 'c' AS side, role, text FROM t UNION ALL SELECT conv_id, pos, 'r', role, text FROM rejected),
 parts AS (
   SELECT s.*, n, '<|' || replace(coalesce(role, ''), '<|', '<​|') || '|>' || chr(10) AS head,
          replace(coalesce(text, ''), '<|', '<​|') || '<|end|>' || chr(10) AS body
