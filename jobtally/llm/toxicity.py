@@ -24,7 +24,6 @@ from jobtally.llm import arrays as A
 from jobtally.llm.work import by_slices, slices, unit
 
 BEGINNINGS = (4, 5, 6)
-FEATURES = 2048
 SURE = float(np.log(1e6))
 MODELS = 3
 PREFILTER_BITS = 20
@@ -89,11 +88,12 @@ def _feature_counts(batches):
 
 
 def fit(texts: DataFrame, positives: DataFrame, prior: float, most_positive: int = 4_000, most_unlabelled: int = 8_000,
-        least_documents: int = 3, steps: int = 200, seed: str = "toxicity") -> Detector:
+        least_documents: int = 3, most_features: int = 2048, steps: int = 200, seed: str = "toxicity") -> Detector:
     """Train on a bounded sample of `texts` (id, text), of which `positives` (id) are known to be toxic.
 
     About `most_positive` positives and `most_unlabelled` rows of the whole, each chosen by a hash of its id, are looked
-    at; `prior` is the share of toxic texts among all. The chosen positives are so few that every task gets them all,
+    at; of the features that tell both apart the `most_features` with the most evidence are learned from, which bounds the
+    model that every task gets; `prior` is the share of toxic texts among all. The chosen positives are so few that every task gets them all,
     and no text is exchanged.
     """
     ids = positives.select("id").filter("id IS NOT NULL").distinct()
@@ -114,7 +114,7 @@ def fit(texts: DataFrame, positives: DataFrame, prior: float, most_positive: int
     surprise = lambda n, part: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("p") + F.col("o")) * part))).otherwise(0.0)
     evidence = surprise("p", share) + surprise("o", max(1 - share, 1e-9))
     sure = counts.withColumn("evidence", evidence).filter((F.col("evidence") > SURE) & (F.col("p") > (F.col("p") + F.col("o")) * share))
-    best = sure.orderBy(F.desc("evidence"), "key").select("key").limit(FEATURES).toPandas()["key"]
+    best = sure.orderBy(F.desc("evidence"), "key").select("key").limit(most_features).toPandas()["key"]
     keys = np.sort(best.to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return Detector(keys, np.zeros((0, MODELS)), np.full(MODELS, -np.inf))

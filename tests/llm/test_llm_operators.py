@@ -36,7 +36,7 @@ def docs(spark, sf_dir):
 @pytest.fixture(scope="module")
 def oracle(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
