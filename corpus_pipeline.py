@@ -4,66 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from jobtally.llm import chunks, mixing, near, pieces, toxicity
-from jobtally.llm.queries import TOKENIZERS, fitted_toxicity
+from jobtally.llm import stages
 from jobtally.llm.work import written
 
-TOXIC = 0.7
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the detector, trained on all labels, scores below 0.7."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    detector = fitted_toxicity(docs, labels, F.lit(True))
-    return (docs.withColumn("__score", toxicity.score("text", detector)).filter(F.col("__score") < TOXIC)
-            .select(*docs.columns))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose sets of five-word shingles are linked at 0.8 or more.
-
-    Of rows that repeat an id and text one stays; rows without an id can't be told apart and stay.
-    """
-    others = near.near_duplicates(docs, words=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    left = docs.filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return left.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that an earlier one holds."""
-    return chunks.deduplicated(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")]).withColumn(
-        "n_chars", F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as many times as it is taken."""
-    mixed, _ = mixing.mix(docs, F.array("source"))
-    times = mixed.groupBy("doc_id").agg(F.max("times").alias("__times"))
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).filter("__times > 0")
-    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__turn")
-                        ).select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether they give its text back."""
-    model = pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
-    rows = docs.select("doc_id", "source", "lang", "text", pieces.coded("text", model).alias("__coded"))
-    return rows.select("doc_id", "source", "lang", "__coded.ids", F.size("__coded.ids").alias("n_pieces"),
-                       F.col("__coded.back").eqNullSafe(F.col("text")).alias("round_trip"))
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near duplicates", drop_near_copies),
-    ("substring dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("sentencepiece", encode),
+    ("toxicity", stages.drop_toxic),
+    ("near duplicates", stages.drop_near_copies),
+    ("substring dedup", stages.cut_repeats),
+    ("mixing", stages.mix_sources),
+    ("sentencepiece", stages.encode),
 ]
 
-# Training, sketches and chunk boundaries can't be written in SQL; tests compare the stages with brute force.
+# Training, sketches and chunk boundaries can't be written in SQL: tests/llm/test_stages.py has plain versions of the stages.
 ORACLE_SQL = None
 
 
