@@ -114,14 +114,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
 
 
 def by_slices(values: Callable, kind: str, most: int = 1 << 21) -> Callable:
-    """An Arrow function of one text column, made from a function of small batches, of about `most` bytes, that gives an array."""
+    """An Arrow function of one text column, made from a function of small batches, of about `most` bytes, that gives an array.
+
+    Every small batch is given back as soon as it is done: a task holds the result of one, not of all.
+    """
     @F.arrow_udf(kind)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             if isinstance(column, pa.ChunkedArray):
                 column = column.combine_chunks()
-            batch = pa.record_batch([column], ["text"])
-            parts = [pa.array(values(part)) for part in slices(iter([batch]), "text", most)]
-            yield pa.concat_arrays(parts) if parts else pa.nulls(0)
+            for part in slices(iter([pa.record_batch([column], ["text"])]), "text", most):
+                yield pa.array(values(part))
 
     return run
