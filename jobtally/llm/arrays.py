@@ -69,7 +69,7 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> Words:
 
 
 _TABLE: list[tuple[np.ndarray, np.ndarray]] = []
-TABLE_MOST = 1 << 21
+TABLE_MOST = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,7 @@ class Hashes:
     """64-bit hashes of any spans of a code array, each in constant time from one running sum."""
 
     def __init__(self, codes: np.ndarray):
-        size = 1 << max(10, int(len(codes)).bit_length())
-        power, self.back = _powers(size)
+        power, self.back = _powers(len(codes) + 1)
         self.sum = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=self.sum[1:])
 

@@ -38,6 +38,7 @@ def tasks(spark: SparkSession) -> int:
 
 
 MARK_BITS = 1 << 27
+SLICE = 1 << 19  # bytes of text that a task looks at together, so that work arrays stay small
 
 
 class Marks:
@@ -98,7 +99,7 @@ def unit(column: Column | str, seed: str = "") -> Column:
     return (F.xxhash64(F.lit(seed), column.cast("string")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about `most` bytes of text, so that work arrays stay small. A longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -113,7 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             first = last
 
 
-def by_slices(values: Callable, kind: str, most: int = 1 << 21) -> Callable:
+def by_slices(values: Callable, kind: str, most: int = SLICE) -> Callable:
     """An Arrow function of one text column, made from a function of small batches, of about `most` bytes, that gives an array.
 
     Every small batch is given back as soon as it is done: a task holds the result of one, not of all.
@@ -125,5 +126,7 @@ def by_slices(values: Callable, kind: str, most: int = 1 << 21) -> Callable:
                 column = column.combine_chunks()
             for part in slices(iter([pa.record_batch([column], ["text"])]), "text", most):
                 yield pa.array(values(part))
+            # What a worker has used once it keeps for its next task; idle ones should not hold much.
+            pa.default_memory_pool().release_unused()
 
     return run
