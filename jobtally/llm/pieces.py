@@ -32,8 +32,7 @@ from jobtally.llm.work import by_slices
 MARK = "▁"
 UNKNOWN_BELOW_WORST = 10.0
 FLAT = 1_000
-CACHE = 100_000  # words that a worker remembers
-SLICE = 1 << 18  # bytes of text that it splits at once
+CACHE = 200_000  # words that a worker remembers
 # A marked word: marks and what follows up to the next mark. A line feed is in no piece but its byte, so it ends one, too.
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 HELD = "\udfff"  # stands for a mark that the text itself contains: no text can hold a lone surrogate
@@ -210,7 +209,7 @@ def _texts_of(spelled: list[bytes]) -> Callable[[pa.Array], pa.Array]:
 
 def encoded(text: Column | str, vocabulary: Vocabulary) -> Column:
     """Piece ids of a text."""
-    return by_slices(_ids_of(vocabulary), "array<int>", SLICE)(text)
+    return by_slices(_ids_of(vocabulary), "array<int>")(text)
 
 
 def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
@@ -226,4 +225,4 @@ def coded(text: Column | str, vocabulary: Vocabulary) -> Column:
         ids = ids_of(part)
         return pa.StructArray.from_arrays([ids, texts_of(ids)], ["ids", "back"])
 
-    return by_slices(both, "struct<ids:array<int>,back:string>", SLICE)(text)
+    return by_slices(both, "struct<ids:array<int>,back:string>")(text)
