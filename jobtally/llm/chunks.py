@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import arrays as A
-from jobtally.llm.work import Marks, marked, slices, written
+from jobtally.llm.work import Marks, by_runs, marked, slices, written
 
 RADIUS = 16
 WINDOW = 16
@@ -229,18 +229,17 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", c
     repeats = (chunks.join(firsts, "digest").filter("doc > first").groupBy("doc", "hash")
                .agg(F.collect_set(F.struct("start", "size", "digest", "first")).alias("at")))
     repeats = written(repeats, "repeats")
-    anchor = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("first", pa.int64())])
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    @F.arrow_udf("array<struct<start:int,size:int,digest:long,first:long>>")
     def sifted(texts: pa.Array, at: pa.Array) -> pa.Array:
-        out = []
+        keep = [np.zeros(0, bool)]
         for given, where in zip(texts, at):
             start, size = (where.values.field(k).to_numpy() for k in (0, 1))
-            out.append(where.values.filter(pa.array(_promising(given.as_py().encode(), start, size, words))).to_pylist())
-        return pa.array(out, pa.list_(anchor))
+            keep.append(_promising(given.as_py().encode(), start, size, words))
+        ends = np.cumsum([len(k) for k in keep])
+        kept = np.concatenate([[0], np.cumsum(np.concatenate(keep))])[ends]
+        return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), at.flatten().filter(pa.array(np.concatenate(keep))))
 
-    @F.arrow_udf(SPANS)
     def extended(texts: pa.Array, earlier: pa.Array, at: pa.Array) -> pa.Array:
         out, held, places = [], None, {}
         for given, holder, where in zip(texts, earlier, at):
@@ -251,6 +250,9 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", c
             out.append([{"start": s, "end": e} for s, e in spans])
         return pa.array(out, pa.list_(span))
 
+    sifted = by_runs(sifted, "array<struct<start:int,size:int,digest:long,first:long>>")
+    extended = by_runs(extended, SPANS)
+
     # Few texts have anchors that can lie in a passage: from here on only those and the ones they repeat are moved.
     with_repeats = texts.filter(marked("doc", Marks.of(repeats.select("doc")).sent(spark)))
     sift = (with_repeats.join(repeats, ["doc", "hash"]).select("doc", "hash", sifted("text", "at").alias("anchors"))
@@ -269,7 +271,6 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", c
              .filter("size(more) > 0").groupBy("doc", "hash").agg(F.flatten(F.collect_list("more")).alias("at"), F.min("holder").alias("first")))
     known = written(known, "spans")
 
-    @F.arrow_udf("text string, spans array<struct<start:int,end:int>>, removed long")
     def without(texts: pa.Array, at: pa.Array) -> pa.Array:
         out = []
         for given, where in zip(texts, at):
@@ -288,6 +289,7 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", c
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                                         ("removed", pa.int64())]))
 
+    without = by_runs(without, "text string, spans array<struct<start:int,end:int>>, removed long")
     changes = marked("doc", Marks.of(known.select("doc")).sent(spark))
     touched = rows.filter(changes).join(known, ["doc", "hash"], "left").withColumn("new", without(F.when(F.col("at").isNotNull(), F.col("text")), "at"))
     changed = F.coalesce(F.size("new.spans"), F.lit(0)) > 0

@@ -114,6 +114,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) ->
             first = last
 
 
+def by_runs(values: Callable, kind: str, rows: int = 256) -> Callable:
+    """An Arrow function of several columns, made from a function of a few rows of them, whose result is given back at once."""
+    @F.arrow_udf(kind)
+    def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in columns:
+            for first in range(0, len(batch[0]), rows):
+                yield values(*(c.slice(first, rows) for c in batch))
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def by_slices(values: Callable, kind: str, most: int = SLICE) -> Callable:
     """An Arrow function of one text column, made from a function of small batches, of about `most` bytes, that gives an array.
 
