@@ -215,3 +215,44 @@ def test_few_candidates_are_all_given(spark, n):
         got[r.query_id].append(r.vec_id)
     assert got == plain_nearest(rows, lambda i: True)
     assert all(len(got[i]) == min(5, n - 1) for i in range(n)) and all(len(got[1000 + i]) == 3 for i in range(4))
+
+
+def test_bounds_are_measured_and_far_files_stay_unread(spark):
+    """In clusters few files are read; every query still gets its neighbours, an outlier and a copied vector too."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 6
+    x = centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 16))
+    x[7] = -x[7] * 3
+    x[2000:3300] = x[2000]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, read = defaultdict(list), []
+    bounds = neighbours.bounds
+    neighbours.bounds = lambda *a: read.append(bounds(*a)) or read[-1]
+    try:
+        for r in neighbours.nearest(table, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") == 7)).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+    finally:
+        neighbours.bounds = bounds
+    files, near = read[0]
+    assert files < 64 and near < 32768
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for i in got:
+        c = u @ u[i]
+        c[i] = -9
+        assert [j for j, _ in got[i]] == sorted((j for j, _ in got[i]), key=lambda j: (-round(c[j], 12), j))
+        assert len(got[i]) == 5 and all(abs(c[j] - s) < 1e-12 for j, s in got[i])
+        hits.append(sum(s >= np.sort(c)[-5] - 1e-12 for _, s in got[i]) / 5)
+    assert len(got) == 81 and np.mean(hits) >= 0.95
+    assert [j for j, _ in got[2050]] == [2000, 2001, 2002, 2003, 2004]  # ties go to smaller ids
+
+
+def test_footrule_and_files():
+    rng = np.random.default_rng(0)
+    pivots = neighbours._unit(rng.normal(size=(256, 8)))
+    place = neighbours.positions(rng.normal(size=(50, 8)), pivots)
+    assert (np.sort(place, axis=1) == np.arange(256)).all()
+    assert neighbours.footrule(place, place[3]).tolist() == [sum(abs(int(a) - int(b)) for a, b in zip(p, place[3])) for p in place]
+    assert neighbours.footrule(np.arange(256, dtype=np.uint8)[None, :], np.arange(256, dtype=np.uint8)[::-1])[0] == 32768
+    assert all(set(f) == {int(np.flatnonzero(p == 0)[0]), int(np.flatnonzero(p == 1)[0])} for f, p in zip(neighbours.files_of(place), place))
