@@ -29,7 +29,6 @@ from jobtally.llm.work import Marks, by_runs, marked, slices, written
 RADIUS = 16
 WINDOW = 16
 CERTAIN = WINDOW + 2 * RADIUS, 2 * RADIUS + 1  # bytes before and after a cut that settle it, its lonely neighbours included
-OFTEN = 8  # an anchor inside what is already found is tried at no more places than this
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
@@ -168,23 +167,25 @@ def _places(text: bytes, words: int) -> dict[int, list[int]]:
 def _extended(text: bytes, earlier: bytes, where: dict[int, list[int]], starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray,
               words: int) -> list[tuple[int, int]]:
     """Spans of `text` around the anchors that `earlier`, with its places, holds as well, of at least `words` words that are whole in both."""
-    a, b = np.frombuffer(text, np.uint8), np.frombuffer(earlier, np.uint8)
-    white, spans, reached, covered = A.WHITE, set(), {}, 0
+    a, b, view = np.frombuffer(text, np.uint8), np.frombuffer(earlier, np.uint8), memoryview(text)
+    white, spans, reached, begun, covered = A.WHITE, set(), {}, 0, 0
     for k in np.argsort(starts, kind="stable"):
         s, size = int(starts[k]), int(sizes[k])
-        places = where.get(int(digests[k]), ())
-        if s + size <= covered and len(places) > OFTEN:
-            continue
-        for o in places:
+        # Inside a stretch already found (begun to covered) a place adds nothing unless it is equal as far as one of its ends.
+        inside = begun <= s and s + size <= covered
+        for o in where.get(int(digests[k]), ()):
             if s + size <= reached.get(o - s, 0):
                 continue
+            if inside and not earlier.startswith(view[s:covered], o) and (
+                    o < s - begun or not earlier.startswith(view[begun : s + size], o - s + begun)):
+                continue
             n = _equal(a[s:], b[o:])
             if n < size:
                 continue
             back = _equal(a[:s][::-1], b[:o][::-1])
             first, last, shift = s - back, s + n, o - s
             reached[shift] = last
-            covered = max(covered, last)
+            whole = first, last
             if first > 0 and a[first - 1] not in white or first + shift > 0 and b[first + shift - 1] not in white:
                 while first < last and a[first] not in white:
                     first += 1
@@ -197,6 +198,9 @@ def _extended(text: bytes, earlier: bytes, where: dict[int, list[int]], starts:
                 last -= 1
             if last > first and len(text[first:last].split()) >= words:
                 spans.add((first, last))
+                if whole[1] > covered:
+                    begun, covered = whole
+                    inside = begun <= s and s + size <= covered
     return sorted(spans)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobtally.llm import arrays as A, fuzzy, neighbours, preference, quality, queries, toxicity
+from jobtally.llm import arrays as A, chunks, fuzzy, neighbours, preference, quality, queries, toxicity
 
 MASK = (1 << 64) - 1
 
@@ -256,3 +256,52 @@ def test_footrule_and_files():
     assert neighbours.footrule(place, place[3]).tolist() == [sum(abs(int(a) - int(b)) for a, b in zip(p, place[3])) for p in place]
     assert neighbours.footrule(np.arange(256, dtype=np.uint8)[None, :], np.arange(256, dtype=np.uint8)[::-1])[0] == 32768
     assert all(set(f) == {int(np.flatnonzero(p == 0)[0]), int(np.flatnonzero(p == 1)[0])} for f, p in zip(neighbours.files_of(place), place))
+
+
+# --- chunks ----------------------------------------------------------------------------------
+
+def plain_extended(text, earlier, where, anchors, words):
+    """What every anchor at every place covers."""
+    white, out = b" \n", set()
+    for s, size, digest in anchors:
+        for o in where.get(digest, ()):
+            first, last, shift = s, s, o - s
+            while last < len(text) and last + shift < len(earlier) and text[last] == earlier[last + shift]:
+                last += 1
+            if last < s + size:
+                continue
+            while first > 0 and first + shift > 0 and text[first - 1] == earlier[first + shift - 1]:
+                first -= 1
+            inner = lambda t, at: 0 < at < len(t) and t[at - 1] not in white and t[at] not in white
+            while first < last and (inner(text, first) or inner(earlier, first + shift)):
+                first += 1
+            while last > first and (inner(text, last) or inner(earlier, last + shift)):
+                last -= 1
+            if len(text[first:last].split()) >= words:
+                found = text[first:last]
+                first += len(found) - len(found.lstrip())
+                out.update(range(first, first + len(found.strip())))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_anchors_with_many_places_lose_nothing(seed):
+    """Phrases that come back dozens of times, in another order or with another word now and then."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"{'abcdefgh'[i % 8] * (1 + i % 5)}{i}" for i in range(60)]
+    phrases = [" ".join(rng.choice(vocabulary, rng.integers(25, 60))) for _ in range(3)]
+
+    def made(n):
+        parts = [phrases[i] for i in rng.choice(3, n)]
+        for i in rng.choice(n, n // 4, replace=False):
+            parts[i] = " ".join(w if rng.random() > 0.05 else "x" for w in parts[i].split())
+        return " ".join(parts).encode()
+
+    earlier, text = made(60), made(20)
+    words = 50
+    begin, size, known = chunks._anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)
+    where = chunks._places(earlier, words)
+    got = {at for a, b in chunks._extended(text, earlier, where, begin, size, known, words) for at in range(a, b)}
+    plain = plain_extended(text, earlier, where, list(zip(begin.tolist(), size.tolist(), known.tolist())), words)
+    assert plain and max(len(p) for p in where.values()) > 8
+    assert got == plain
