@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import arrays as A
-from jobtally.llm.work import Marks, by_runs, marked, slices, written
+from jobtally.llm.work import SLICE, Marks, by_runs, marked, slices, written
 
 RADIUS = 16
 WINDOW = 16
@@ -46,8 +46,8 @@ def gear(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every chunk of all texts. No cut looks over the ends of a text."""
     n = len(data)
-    h = gear(data).astype(np.int64) << 1
-    top = np.full(n + 2 * RADIUS, -1, np.int64)
+    h = gear(data).astype(np.int32) << np.int32(1)
+    top = np.full(n + 2 * RADIUS, -1, np.int32)
     top[RADIUS : RADIUS + n] = h
     best, width = top, 1
     while width < 2 * RADIUS + 1:
@@ -111,7 +111,7 @@ def _in_long_runs(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, end:
 
 def _chunk_rows(words: int, holds=None):
     def rows(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE // 2):
             data, bounds = A.utf8(part.column("text"))
             start, end, digest = _anchors(data, bounds, words)
             if holds:
