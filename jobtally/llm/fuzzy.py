@@ -14,6 +14,8 @@ texts have equal fingerprints and likeness 1; a text may be of any length.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ LEAST_BLOCK, LENGTH, WINDOW, RUN = 3, 64, 7, 4
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 MOST_BYTES = 1 << 21
 LEAST_ROWS = 1_000
+DRAWN, LEAD = 100, 64  # texts looked at for each range of a hot id, and how many characters of each
 LAST = -(1 << 63)  # null ids come after all others
 
 
@@ -176,44 +179,63 @@ def _pairs(batches):
         yield _described(ids, texts, following)
 
 
+def _starts(rows: DataFrame) -> tuple[list[tuple[int, str]], list[int]]:
+    """Where ranges of about as many rows each should start, as (down, lead), and the ids found hot, as `down`.
+
+    An id that fills whole ranges is hot: its rows are cut again by the first characters of their texts, a bounded sample of
+    which is looked at. Where the cuts lie decides only how even the ranges are.
+    """
+    downs = rows.select("down")
+    n = downs.count()
+    count = max(1, min(tasks(rows.sparkSession), -(-n // LEAST_ROWS)))
+    if count == 1:
+        return [], []
+    shares = [(k + 1) / count for k in range(count - 1)]
+    times = Counter(downs.agg(F.percentile_approx("down", shares, max(10_000, 20 * count))).first()[0])
+    hot = sorted(m for m, r in times.items() if r > 1)
+    leads: dict[int, list[str]] = {m: [] for m in hot}
+    if hot:
+        drawn = rows.filter(F.col("down").isin(hot)).sample(min(1.0, DRAWN * count / n), seed=1)
+        for r in drawn.select("down", F.substring("text", 1, LEAD).alias("lead")).collect():
+            leads[r.down].append(r.lead)
+    starts = {(m, "") for m in times}
+    for m, found in leads.items():
+        found.sort()
+        starts.update((m, found[len(found) * k // (times[m] + 1)]) for k in range(1, times[m] + 1) if found)
+    return sorted(starts), hot
+
+
 def fingerprinted(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: code points, fingerprints of the text and of the edited text, and their likeness to each other and to
     the next row's, in falling order of id (null last; rows with equal ids by their text); the last row's next is the first.
 
-    Ids are cut into ranges that hold about the same number of rows. The first row of each range visits the range before
-    as a guest, so one exchange by range, sorted inside, gives every row its next; no row is collected.
+    Rows are cut into ranges of about the same number: by id, and inside an id that many rows share by the first characters
+    of the text. The first row of each range visits the range before as a guest, so one exchange by range, sorted inside,
+    gives every row its next; no row is collected. Rows of a hot id with equal first characters stay in one range.
     """
-    key = F.coalesce("id", F.lit(LAST))
     rows = documents.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = rows.select(key.alias("key"))
-    n, lowest = keys.agg(F.count("*"), F.min("key")).first()
-    count = max(1, min(tasks(documents.sparkSession), -(-n // LEAST_ROWS)))
-    shares = [(k + 1) / count for k in range(count - 1)]
-    cut = keys.agg(F.percentile_approx("key", shares, max(10_000, 20 * count))).first()[0] if shares else []
-    marks = np.array(sorted({m for m in cut if m > lowest}), np.int64)
-
-    def ranges(column: pa.Array) -> np.ndarray:
-        return len(marks) - np.searchsorted(marks, column.to_numpy(), side="right")
+    rows = rows.withColumn("down", F.bitwise_not(F.coalesce("id", F.lit(LAST))))  # rises as ids fall, null last
+    starts, hot = _starts(rows)
+    lead = F.when(F.col("down").isin(hot), F.substring("text", 1, LEAD)).otherwise("") if hot else F.lit("")
 
     @F.arrow_udf("int")
-    def range_of(column: pa.Array) -> pa.Array:
-        return pa.array(ranges(column), pa.int32())
+    def range_of(down: pa.Array, lead: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(starts, at) for at in zip(down.to_pylist(), lead.to_pylist())], pa.int32())
 
-    heads = keys.select("key", range_of("key").alias("bucket")).groupBy("bucket").agg(F.max("key").alias("head"))
-    head = np.array([r.head for r in heads.orderBy("bucket").collect()], np.int64)
+    # The first place of every range that has rows: from here on these are the ranges.
+    firsts = rows.select("down", lead.alias("lead")).groupBy(range_of("down", "lead")).agg(F.min(F.struct("down", "lead")).alias("first"))
+    heads = sorted((r.first.down, r.first.lead) for r in firsts.select("first").collect())
 
     @F.arrow_udf("array<int>")
-    def places(column: pa.Array) -> pa.Array:
-        own = ranges(column)
-        visits = head[own] == column.to_numpy()
-        size = 1 + visits
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        out = np.repeat(own, size)
-        out[bounds[1:][visits] - 1] = (own[visits] - 1) % (len(marks) + 1)
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))
-
-    dealt = (rows.select("id", "text", key.alias("key"), F.posexplode(places(key)).alias("guest", "bucket"))
-             .repartitionById(len(marks) + 1, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "text"))
+    def places(down: pa.Array, lead: pa.Array) -> pa.Array:
+        out = []
+        for at in zip(down.to_pylist(), lead.to_pylist()):
+            own = bisect_right(heads, at) - 1
+            out.append([own, (own - 1) % len(heads)] if heads[own] == at else [own])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    dealt = (rows.select("id", "text", "down", F.posexplode(places("down", lead)).alias("guest", "bucket"))
+             .repartitionById(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "guest", "down", "text"))
     pairs = dealt.select("bucket", "id", "text", (F.col("guest") == 1).alias("guest"))
     return pairs.mapInArrow(_pairs, "id long, n_chars long, edited_sha256 string, fingerprint string, "
                             "edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id)

@@ -456,6 +456,21 @@ def test_fingerprints_of_awkward_rows(spark, tasks_):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_one_id_in_most_rows_is_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "LEAST_ROWS", 10)
+    texts = [f"{k * 7919 % 400:03d} words of one text {k % 9}" for k in range(300)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)] + [(7, "000 same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fuzzy.fingerprinted(docs)
+    sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(rows) / 3
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expected = [(i, fuzzy.hashlib.sha256(fuzzy.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest())
+                for k, (i, t) in enumerate(order)]
+    got = [(r.doc_id, r.edited_sha256) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_equal_texts_have_equal_fingerprints():
     text = BASE.encode()
     first, second, third = fuzzy.fingerprints([text, b"other text in between", text])[::2] + fuzzy.fingerprints([text])
