@@ -173,11 +173,14 @@ PROFILED = ("WallClockHr", "CpuTimeHr")
        "SELECT measure, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS stddev, min(v) AS min, max(v) AS max, "
        "TRUE AS q25_close, TRUE AS q50_close, TRUE AS q75_close FROM long GROUP BY 1", "mean stddev min max")
 def profile_from_daily_sketches(spark, sf_dir):
-    """Quartiles out of daily sketches: their rank among all values is within the bound the sketches state."""
+    """Quartiles out of daily sketches: their rank among all values is within the bound the sketches state.
+
+    The quartiles are one row a measure, two in all, and go to every task; a join by measure would gather all values in two tasks.
+    """
     cleaned = clean.clean_jobs(B.jobs(spark, sf_dir, *PROFILED), PROFILED, per_day=True)
     merged = state.merged_profile(state.profile_parts(cleaned, PROFILED, S.RECORD_DATE))
     values = cleaned.select(*PROFILED).unpivot([], list(PROFILED), "m", "v").where("v IS NOT NULL")
-    ranks = merged.join(values, F.col("measure") == F.col("m")).groupBy("measure").agg(
+    ranks = values.join(F.broadcast(merged), F.col("measure") == F.col("m")).groupBy("measure").agg(
         *(F.avg((F.col("v") < F.col(q)).cast("int")).alias(f"{q}_below") for q in ("q25", "q50", "q75")),
         *(F.avg((F.col("v") <= F.col(q)).cast("int")).alias(f"{q}_to") for q in ("q25", "q50", "q75")))
     close = lambda q, at: (F.col(f"{q}_below") <= at + state.RANK_ERROR) & (F.col(f"{q}_to") >= at - state.RANK_ERROR)
