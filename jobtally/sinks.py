@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from jobtally import schemas as S
+from jobtally.operators import packing
 
 
 def write_parquet(df: DataFrame, path: str, compression: str | None = None,
@@ -44,11 +45,14 @@ def write_by(df: DataFrame, path: str, keys: Sequence[str] = (S.RECORD_DATE,),
     """Write one partition per key value, all of them in one job.
 
     The rebalance gathers each value's rows into files of the advisory size: small
-    days share no needless files, a very big day is split over several tasks.
+    days share no needless files, a very big day is split over several tasks. Texts and
+    whole numbers of a wide table go there as one column, taken apart before the writing.
     ``replace`` overwrites just the partitions that the rows fall into.
     """
-    balanced = df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(keys)}) */ * FROM {{rows}}", rows=df)
-    writer = balanced.write.partitionBy(*keys)
+    whole = [c for c in df.columns if c not in keys and packing.packable(df.schema[c])]
+    narrow, _, unpacked = packing.packed(df, [whole] if len(whole) >= packing.LEAST else [])
+    balanced = df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(keys)}) */ * FROM {{rows}}", rows=narrow)
+    writer = unpacked(balanced).write.partitionBy(*keys)
     if compression:
         writer = writer.option("compression", compression)
     if replace:
