@@ -44,7 +44,7 @@ def without_mark(df: DataFrame, column: str, mark: str = S.PROBE_MARK) -> DataFr
     return df.where(~F.col(column).contains(mark))
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str = S.RECORD_TIME) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str = S.RECORD_TIME, pack: bool = True) -> DataFrame:
     """One row per key: the newest, equal times settled by all other columns in name order.
 
     The order covers every column, so the result never depends on how the rows
@@ -53,10 +53,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str = S.RECORD_TI
     Sorting goes by a hash of the key first: job ids share a long prefix, and the
     numbers are told apart at once where the texts would be compared in full.
     Of many columns those next to each other in the order go as one text that sorts
-    as they do: the one shuffle of whole records has fewer bytes.
+    as they do: the one shuffle of whole records has fewer bytes. Where there is disk enough, without ``pack``,
+    they stay columns, which takes less CPU.
     """
     ties = sorted(c for c in df.columns if c not in keys and c != newest)
-    narrow, ties, unpacked = packing.packed(df, packing.runs(df, ties))
+    narrow, ties, unpacked = packing.packed(df, packing.runs(df, ties) if pack else [[c] for c in ties])
     order = [F.col(newest).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in ties)]
     ranked = narrow.withColumn(_RANK, F.row_number().over(W.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)))
     return unpacked(ranked.where(F.col(_RANK) == 1).drop(_RANK))
@@ -68,7 +69,7 @@ def any_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: bool = False,
-               already_clean: bool = False, **conditions) -> DataFrame:
+               already_clean: bool = False, pack: bool = True, **conditions) -> DataFrame:
     """Filter, then keep one record per job id: the front of every analysis.
 
     The filter has to come first: a job with a running and a final record keeps
@@ -78,7 +79,7 @@ def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: boo
     a run per day would give; a job seen on two days is then in both.
     ``already_clean`` is for extracts that hold each job once: they are filtered
     only, which saves the one shuffle that grows with the records. A table whose
-    contract says otherwise is refused.
+    contract says otherwise is refused. ``pack`` goes to :func:`latest_per_key`.
     """
     if already_clean:
         contract.check_clean(df, per_day, conditions.get("statuses"))
@@ -89,4 +90,4 @@ def clean_jobs(df: DataFrame, keep: Sequence[str] | None = None, *, per_day: boo
         kept = kept.withColumn(S.RECORD_DATE, T.record_date(S.RECORD_TIME))
     if already_clean:
         return kept
-    return latest_per_key(kept, [S.RECORD_DATE, S.JOB_ID] if per_day else [S.JOB_ID])
+    return latest_per_key(kept, [S.RECORD_DATE, S.JOB_ID] if per_day else [S.JOB_ID], pack=pack)

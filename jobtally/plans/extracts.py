@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from jobtally import contract, schemas as S, sinks
+from jobtally import contract, passes as P, schemas as S, sinks
 from jobtally.contract import ONE_PER_JOB, ONE_PER_JOB_AND_DAY, Contract
 from jobtally.functions import time as T
 from jobtally.operators import catalogue, clean, topk
-from jobtally.session import shared_base, shared_folder
+from jobtally.session import shared_base, shared_folder, shuffles_freed
 
 
 def clean_extract(jobs: DataFrame, statuses=S.FINAL_STATUSES, once: bool = False, columns=S.EXTRACT_COLUMNS,
@@ -53,13 +54,52 @@ def _check_replaced(window, replace: bool, period: str = "day") -> None:
         raise ValueError(f"replace needs a window of whole UTC {period}s")
 
 
-def write_clean_extract(jobs: DataFrame, path: str, replace: bool = False, **options) -> None:
-    """All days in one job, gzip Parquet, a partition per day.
+def write_clean_extract(jobs: DataFrame, path: str, replace: bool = False, passes: int | None = None, **options) -> None:
+    """Gzip Parquet, a partition per day; all days in one job, or a large table in several ``passes``.
 
-    ``replace`` takes the place of whole days, so a window must be whole UTC days.
+    ``replace`` takes the place of whole days, so a window must be whole UTC days. How many passes there are
+    follows from the size of the files read (:func:`jobtally.passes.needed`) if it is not given; they need the shared folder.
     """
     _check_replaced(options.get("window"), replace)
-    sinks.write_by(clean_extract(jobs, **options), path, compression="gzip", replace=replace)
+    count = passes or P.needed(jobs)
+    if count == 1 or shared_base(jobs.sparkSession) is None:
+        sinks.write_by(clean_extract(jobs, **options), path, compression="gzip", replace=replace)
+    else:
+        _write_in_passes(jobs, path, replace, count, options)
+
+
+_DAYS = "__days"
+
+
+def _write_in_passes(jobs: DataFrame, path: str, replace: bool, count: int, options: dict) -> None:
+    """Clean a part of the jobs at a time, then write a part of the days at a time.
+
+    A pass reads all records, takes the jobs whose id falls to it and keeps their best records as compressed columns,
+    sorted out by parts of the days. So the disk holds these, what is written, and the shuffles of one pass. Every day is
+    written by one pass: it has no more files than in one job. Should a pass fail, a new table is taken back; a replaced
+    one has days of both until it is written again. ``jobs`` has to give the same records each time it is read.
+    """
+    spark = jobs.sparkSession
+    if not replace and sinks.exists(spark, path):
+        raise AnalysisException(f"[PATH_ALREADY_EXISTS] Path already exists: {path}")
+    kept, begun = shared_folder(spark, "cleaned"), False
+    try:
+        with shuffles_freed(spark):
+            for i in range(count):
+                cleaned = clean_extract(jobs.where(P.number(S.JOB_ID, count) == i), pack=False, **options)
+                sinks.write_parts(cleaned.withColumn(_DAYS, P.number(S.RECORD_DATE, count)), kept, _DAYS)
+            for i in range(count):
+                part = f"{kept}/{_DAYS}={i}"
+                days = sinks.read_part(cleaned, part)
+                sinks.write_by(days, path, compression="gzip", replace=replace, pack=False, begun=begun, complete=i == count - 1)
+                begun = True
+                sinks.remove(spark, part)
+    except BaseException:
+        if begun and not replace:
+            sinks.remove(spark, path)
+        raise
+    finally:
+        sinks.remove(spark, kept)
 
 
 ACCESS_COLUMNS = (S.TIER, S.DATASET, S.BLOCK, S.TASK)
