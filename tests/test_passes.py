@@ -11,11 +11,13 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from jobtally import contract, passes, schemas as S, sinks
 from jobtally.plans import extracts
 from jobtally.session import shared_base, shared_folder, shuffles_freed
 from jobtally.sources import jobs as source
 from jobtally.sources.windows import TimeWindow
+from verification.check import mismatch, oracle_connection
 
 DAY_MS = 86_400_000
 START = int(datetime.fromisoformat("2024-01-01T00:00:00+00:00").timestamp() * 1000)
@@ -152,3 +154,13 @@ def test_the_option_is_put_back(spark):
         assert spark.conf.get(name) == "true"
         1 / 0
     assert spark.conf.get(name) == before
+
+
+def test_a_query_of_a_wide_extract_in_passes_matches_its_oracle(spark, sf_dir, monkeypatch):
+    name = "dataset_popularity_from_wide_extract"
+    monkeypatch.setattr(passes, "PASS_BYTES", 1)
+    monkeypatch.setattr(passes, "MOST", 2)
+    begun, parts = [], sinks.write_parts
+    monkeypatch.setattr(sinks, "write_parts", lambda df, *more: (begun.append(df), parts(df, *more)))
+    assert mismatch(queries()[name](spark, sf_dir), oracle_connection(sf_dir), oracle_sql()[name]) is None
+    assert len(begun) == 2
